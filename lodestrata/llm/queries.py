@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing
+from . import decontaminate, exact_dedup, html_extract, mixing, simhash, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_mixing": mixing.op8_mixing,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLE = {
+    "op1_url_filter": url_filter.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op8_mixing": mixing.ORACLE,

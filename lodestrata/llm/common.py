@@ -17,6 +17,16 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 1_000_000
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def id_key(col: Column) -> Column:
+    """An id as a string that is never null: joins and deduplication on it share one shuffle, which null-safe equality would not."""
+    return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; where none is set (tests), a temporary one."""
     sc = spark.sparkContext

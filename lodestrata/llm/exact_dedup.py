@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, id_key, quoted
 
 SALTS = 64
 
@@ -73,10 +73,9 @@ def duplicate_groups(
     if clashes.isEmpty():
         found = narrow.join(groups.drop("_clash", "_ct"), ["_d", "_s"])
     else:
-        same = (keyed["_d"] == groups["_d"]) & (keyed["_s"] == groups["_s"])
-        found = keyed.join(groups, same & (~groups["_clash"] | (keyed["_t"] == groups["_ct"]))).select(
-            keyed["_id"], keyed["_d"], keyed["_s"], keyed["_t"], "_keep", "_size"
-        )
+        theirs = groups.withColumnsRenamed({"_d": "_gd", "_s": "_gs"})
+        same = "_d = _gd AND _s = _gs AND (NOT _clash OR _t = _ct)"
+        found = keyed.join(theirs, F.expr(same)).select("_id", "_d", "_s", "_t", "_keep", "_size")
     sha = F.lower(F.hex("_d")) if digest is sha256_digest else F.sha2("_t", 256)
     twin = Window.partitionBy("_d", "_s", "_id", "_keep").orderBy("_id")
     return found.withColumn("_rn", F.row_number().over(twin)).select(
@@ -90,10 +89,11 @@ def duplicate_groups(
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with all columns of `df` unchanged."""
-    winners = _salt_groups(_keyed(df, id_col, text_col, salts, sha256_digest)).groupBy("_d", "_keep").agg(F.first("_d").alias("_x")).drop("_x")
-    tagged = df.withColumn("__ls_d", sha256_digest(normalise(F.col(text_col))))
-    kept = tagged.join(winners, (F.col("__ls_d") == F.col("_d")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["__ls_d", id_col]).select(*df.columns)
+    groups = _salt_groups(_keyed(df, id_col, text_col, salts, sha256_digest))
+    winners = groups.select(F.col("_d").alias("__ls_wd"), id_key(F.col("_keep")).alias("__ls_wk")).distinct()
+    tagged = df.withColumns({"__ls_d": sha256_digest(normalise(F.col(text_col))), "__ls_k": id_key(F.col(id_col))})
+    kept = tagged.join(winners, F.expr("__ls_d = __ls_wd AND __ls_k = __ls_wk"), "left_semi")
+    return kept.dropDuplicates(["__ls_d", "__ls_k"]).select(*quoted(df.columns))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,9 @@ Buckets are compared in Arrow batches that hold distinct 64-bit values only, and
 give one edge per member (to the smallest of its component in the bucket), never
 all pairs. A bucket of over SMALL values is divided inside its task by masks over
 the bits that vary in it; one of over `max_bucket` values is handed back and dealt
-out again by a second set of masks, as often as needed. Components come from
+out again by a second set of masks, as often as needed (values that are all within
+the radius of each other, some hundred at most, cannot be dealt apart: `max_bucket`
+must not be smaller than that). Components come from
 alternating large-star and small-star rounds, each written to the checkpoint
 folder.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_key, quoted
 
 RADIUS, SHINGLE, SEED, MAX_BUCKET, SMALL = 3, 3, 42, 1_000_000, 1024
 
@@ -250,10 +252,11 @@ def near_duplicates(
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component stays (the smallest id; of several texts under that id, one), with all columns unchanged."""
     marks = near_duplicates(df, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    stay = marks.groupBy("component_id", "component_fp").agg(F.min("text_xxhash64").alias("__ls_x")).select(F.col("component_id").alias("__ls_id"), "__ls_x")
-    tagged = df.withColumn("__ls_h", _text_key(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__ls_id")) & (F.col("__ls_h") == F.col("__ls_x"))
-    return tagged.join(stay, same, "left_semi").dropDuplicates([id_col, "__ls_h"]).select(*df.columns)
+    stay = marks.groupBy("component_id", "component_fp").agg(F.min("text_xxhash64").alias("__ls_x"))
+    stay = stay.select(id_key(F.col("component_id")).alias("__ls_i"), "__ls_x").distinct()
+    tagged = df.withColumns({"__ls_h": _text_key(text_col), "__ls_k": id_key(F.col(id_col))})
+    kept = tagged.join(stay, F.expr("__ls_k = __ls_i AND __ls_h = __ls_x"), "left_semi")
+    return kept.dropDuplicates(["__ls_k", "__ls_h"]).select(*quoted(df.columns))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -88,20 +88,21 @@ class _Plan:
 def _hits(docs: DataFrame, plan: _Plan, fps: DataFrame, n_fps: int, windows: DataFrame, anchors: bool) -> DataFrame:
     """(_id, _x, _n, _s, _e, _item): hit windows; with `anchors` also one row without a window for each document row."""
     tagged = _grams(docs, plan.k).withColumn("_f", _winnow("_g", plan.w))
-    anchor = F.array(F.lit(None).cast("long")) if anchors else F.array().cast("array<long>")
+    # explode() of a bare column would let the optimizer infer a filter on its size and copy the whole expression, lambdas within lambdas, below
+    anchored = lambda fps: F.explode(F.concat(F.array(F.lit(None).cast("long")), fps)).alias("_fp")
     out = [F.col("_id"), F.col("_x"), F.col("_n")]
     if n_fps <= BROADCAST_ROWS:
         side = fps.select("_fp", F.lit(True).alias("_hit"))
-        rows = tagged.select(*out, "_w", "_g", F.explode(F.concat(anchor, F.col("_f"))).alias("_fp"))
-        rows = rows.join(F.broadcast(side), "_fp", "left").filter("_fp IS NULL OR _hit")
+        rows = tagged.select(*out, "_w", "_g", anchored(F.col("_f"))).join(F.broadcast(side), "_fp", "left")
+        rows = rows.filter("_fp IS NULL OR _hit" if anchors else "_hit")
     else:
         spread = fps.select("_fp", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
-        narrow = tagged.select(*out, F.explode("_f").alias("_fp")).distinct()
+        narrow = tagged.select("_id", "_x", anchored(F.col("_f"))).distinct()
         narrow = narrow.withColumn("_salt", F.pmod("_x", F.lit(SALTS)).cast("int")).join(spread, ["_fp", "_salt"])
-        found = narrow.groupBy("_id", "_x").agg(F.collect_set("_fp").alias("_m")).withColumnRenamed("_id", "_i").withColumnRenamed("_x", "_y")
-        joined = tagged.join(found, tagged["_id"].eqNullSafe(found["_i"]) & (tagged["_x"] == found["_y"]), "left")
-        found_fps = F.coalesce(F.col("_m"), F.array().cast("array<long>"))
-        rows = joined.select(*out, "_w", "_g", F.explode(F.concat(anchor, found_fps)).alias("_fp"))
+        found = narrow.groupBy(F.col("_id").alias("_i"), F.col("_x").alias("_y")).agg(F.collect_set("_fp").alias("_m"))
+        joined = tagged.join(found, F.expr("_id <=> _i AND _x = _y"), "left" if anchors else "inner")
+        rows = joined.select(*out, "_w", "_g", anchored(F.coalesce(F.col("_m"), F.array().cast("array<long>"))))
+        rows = rows if anchors else rows.filter("_fp IS NOT NULL")
     rows = plan.candidates(rows).select(*out, "_fp", F.explode_outer("_c").alias("_c"))
     rows = rows.select(*out, "_fp", F.col("_c.s").alias("_s"), F.col("_c.p").alias("_p"))
     rows = rows.join(windows.withColumn("_in", F.lit(True)), "_p", "left").filter("_fp IS NULL OR _in")

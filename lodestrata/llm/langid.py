@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .common import quoted
 
 BITS, PER_LANGUAGE, MAX_LANGUAGES, EPOCHS = 15, 800, 1000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -195,7 +196,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def predict(text: str | None):
         return sent.value.predict(text)
 
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    kept = quoted([c for c in df.columns if c not in ("lang_pred", "score")])
     return df.select(*kept, predict(F.col(text_col)).alias("__ls_p")).select(*kept, "__ls_p.lang_pred", "__ls_p.score")
 
 

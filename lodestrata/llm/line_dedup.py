@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACES, cut
+from .common import NON_SPACES, cut, quoted
 
 MIN_WORDS = 8
 
@@ -152,15 +152,15 @@ def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """`df` with the text cleaned, and __ls_lines and __ls_deleted (numbers of lines)."""
-    gone = copied_lines(df, id_col, text_col, min_words)
+    gone = copied_lines(df, id_col, text_col, min_words).toDF("__ls_d", "__ls_gx", "__ls_gone")
     tagged = df.withColumn("__ls_x", F.xxhash64(text_col))
-    joined = tagged.join(gone, (tagged[id_col].cast("long") == gone["d"]) & (tagged["__ls_x"] == gone["x"]), "left")
-    left = F.filter(F.split(text_col, "\n"), lambda s, i: ~F.array_contains("deleted", i))
-    text = F.when(F.col("deleted").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    joined = tagged.join(gone, (F.col(id_col).cast("long") == F.col("__ls_d")) & (F.col("__ls_x") == F.col("__ls_gx")), "left")
+    left = F.filter(F.split(text_col, "\n"), lambda s, i: ~F.array_contains("__ls_gone", i))
+    text = F.when(F.col("__ls_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in df.columns],
+        *[text.alias(n) if n == text_col else c for n, c in zip(df.columns, quoted(df.columns))],
         F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("__ls_lines"),
-        F.coalesce(F.size("deleted"), F.lit(0)).cast("long").alias("__ls_deleted"),
+        F.coalesce(F.size("__ls_gone"), F.lit(0)).cast("long").alias("__ls_deleted"),
     )
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import maybe_broadcast
+from .common import maybe_broadcast, quoted
 
 VOCABULARY, BITS, BIGRAM_WEIGHT, ADD = 32_768, 20, 0.6, 0.1
 
@@ -162,7 +162,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         loss /= np.maximum(1, n + 1)
         return pd.DataFrame(dict(zip(names, (n, loss[0], loss[1], loss[0] - loss[1]))))
 
-    kept = [c for c in df.columns if c not in names]
+    kept = quoted([c for c in df.columns if c not in names])
     return df.select(*kept, losses(F.col(text_col)).alias("__ls_l")).select(*kept, *[F.col(f"__ls_l.{c}") for c in names])
 
 

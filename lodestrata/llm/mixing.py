@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACES, maybe_broadcast
+from .common import NON_SPACES, maybe_broadcast, quoted
 
 WEIGHTS, MAX_REPEAT, SEED = (5, 2, 1), 3, "mix"
 
@@ -92,7 +92,7 @@ def emit_mix(df: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of `df`, each document as often as the mix takes it."""
     planned = plan_mix(df, **options)
     times = F.explode(F.array_repeat(F.lit(0), F.col("__ls_copies").cast("int"))).alias("__ls_i")
-    return planned.select(*df.columns, times).select(*df.columns)
+    return planned.select(*quoted(df.columns), times).select(*quoted(df.columns))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, quoted
 
 #: The contract's rules.
 RULES = (
@@ -157,9 +157,9 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url
         return pd.DataFrame(out, columns=["rule", "verdict"])
 
     host, path = url_parts(F.col(url_col))
-    kept = [F.col(c) for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = quoted([c for c in df.columns if c not in ("host", "path", "rule", "verdict")])
     judged = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("__ls_j", judge("host", "path"))
-    return judged.select(*[c for c in df.columns if c not in ("host", "path", "rule", "verdict")], "host", "path", "__ls_j.rule", "__ls_j.verdict")
+    return judged.select(*kept, "host", "path", "__ls_j.rule", "__ls_j.verdict")
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:

@@ -1 +1 @@
-
+"""Column functions: text in, Columns out; no UDF."""

@@ -9,8 +9,8 @@ head and tail, then lines unique to both in a longest increasing run, then again
 between those), and aligned runs of consecutive lines with at least `min_words`
 words are deleted from the later document.
 
-Line hashes, not texts, are shuffled; joins on a hot line or a hot first document
-can be split by AQE. A document's partners (at most one per line it has) stream
+Line hashes, not texts, are shuffled; a hot line's documents are dealt over SALTS
+tasks, and the join on a hot first document can be split by AQE. A document's partners (at most one per line it has) stream
 past its line hashes in Python.
 
 Defined results: a null text stays null and has no lines; documents with a null id
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import NON_SPACES, cut, quoted
 
-MIN_WORDS = 8
+MIN_WORDS, SALTS = 8, 16
 
 
 def _unique(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -141,7 +141,8 @@ def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
     has = docs.select("d", F.explode(rare).alias("l"))
     firsts = has.groupBy("l").agg(F.min("d").alias("f"), F.max("d").alias("m")).filter("m > f").select("l", "f")
-    pairs = has.join(firsts, "l").filter("d > f").select("f", "d").distinct()
+    salted = firsts.select("l", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    pairs = has.withColumn("s", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["l", "s"]).filter("d > f").select("f", "d").distinct()
     partners = pairs.join(docs.select(F.col("d").alias("f"), F.col("h").alias("fh")), "f").select("d", F.col("fh").alias("h"))
     later = docs.join(pairs.select("d").distinct(), "d", "left_semi").select("d", "x", F.lit(0).alias("k"), "h", "w")
     streams = later.select("d", "x").distinct()

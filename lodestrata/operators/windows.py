@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +31,34 @@ def align(words: list[tuple[int, int, int]], subwords: list[tuple[int, int]]) ->
     return out
 
 
-def align_labels(df: DataFrame, text: str, words: str, tokenizer: Tokenizer = pieces) -> DataFrame:
-    """`df` with subwords array<struct<start, end, label, owner>>; `words` holds (start, end, keep)."""
-
-    @F.udf("array<struct<start:int,end:int,label:int,owner:int>>", useArrow=True)
-    def run(t, ws):
-        spans = tokenizer(t)
-        return [(*s, *lo) for s, lo in zip(spans, align([tuple(w.values()) if isinstance(w, dict) else tuple(w) for w in ws], spans))]
-
-    return df.withColumn("subwords", run(F.col(text), F.col(words)))
+def align_labels(df: DataFrame, text: str, spans: str, tokenizer: Tokenizer = pieces) -> DataFrame:
+    """`df` with subwords array<struct<start, end, label, owner>>; `spans` is an array of structs that hold start, end and keep.
+
+    Spans and subwords cross as flat Arrow arrays with offsets, not as Python rows.
+    """
+    kept = [c for c in df.columns if c != "subwords"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
+
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            texts, lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            inner, at = lists.values, lists.offsets.to_numpy()
+            start, end, keep = (inner.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "keep"))
+            flat: list[tuple[int, int, int, int]] = []
+            offsets = [0]
+            for k, t in enumerate(texts.to_pylist()):
+                a, b = at[k], at[k + 1]
+                subwords = tokenizer(t or "")
+                words = list(zip(start[a:b].tolist(), end[a:b].tolist(), keep[a:b].tolist()))
+                flat += [(*s, *lo) for s, lo in zip(subwords, align(words, subwords))]
+                offsets.append(len(flat))
+            cols = list(zip(*flat)) or [()] * 4
+            struct = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["start", "end", "label", "owner"])
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], out], [*kept, "subwords"])
+
+    rows = df.select(*kept, F.col(text).alias("_t"), F.col(spans).alias("_s"))
+    return rows.mapInArrow(run, f"{fields}, subwords array<struct<start:int,end:int,label:int,owner:int>>")
 
 
 def group_sizes(owners: Column) -> Column:

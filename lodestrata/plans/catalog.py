@@ -654,8 +654,7 @@ def regeneration_check(spark, d):
 @query()
 def align_labels(spark, d):
     labelled_ = distill.label_chunks(teacher_chunks(spark, d), "text", "short")
-    spans = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["keep"].alias("keep")))
-    a = windows.align_labels(labelled_.withColumn("words", spans), "text", "words")
+    a = windows.align_labels(labelled_.select("doc_id", "index", "text", "tokens"), "text", "tokens")
     return a.select("doc_id", "index", F.size("subwords").alias("n_subwords"), F.size(F.filter("subwords", lambda s: s["label"] == 1)).alias("n_kept"))
 
 

@@ -24,6 +24,11 @@ GUARD = "\ue000"
 SHORT_ANSWER, MAX_POINTS, MIN_SIGNIFICANT = 80, 6, 3
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -70,18 +75,17 @@ def split_sentences(text: Column) -> Column:
 def key_points(answers: Column) -> Column:
     """Points that must survive: a short first answer itself, else its first sentence and those with a digit, at most MAX_POINTS."""
     trimmed = F.filter(F.transform(answers, lambda a: F.trim(a)), lambda a: a.isNotNull() & (a != ""))
-    answer = F.get(trimmed, 0)
+    return let(F.get(trimmed, 0), _points)
+
+
+def _points(answer: Column) -> Column:
 
     def of(s: Column) -> Column:
         chosen = F.array_distinct(F.concat(F.slice(s, 1, 1), F.filter(s, lambda x: x.rlike(r"\p{Nd}"))))
         return F.slice(chosen, 1, MAX_POINTS)
 
-    long = F.transform(F.array(split_sentences(answer)), of)[0]
-    return (
-        F.when(answer.isNull(), F.array().cast("array<string>"))
-        .when(F.char_length(answer) <= SHORT_ANSWER, F.array(answer))
-        .otherwise(F.when(F.size(long) > 0, long).otherwise(F.array(answer)))
-    )
+    long = let(let(split_sentences(answer), of), lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(answer)))
+    return F.when(answer.isNull(), F.array().cast("array<string>")).when(F.char_length(answer) <= SHORT_ANSWER, F.array(answer)).otherwise(long)
 
 
 def significant_words(text: Column) -> Column:
@@ -101,15 +105,19 @@ def judge_reply(points: Column, answer: Column) -> Column:
 
 def parse_judge(reply: Column, n: Column) -> Column:
     """Scores of a judge's reply: exactly n values of 0 or 1 in its outermost braces; else null. Booleans do not count."""
-    scores = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "scores array<double>")["scores"]
-    good = (F.size(scores) == n) & F.forall(scores, lambda s: s.isin(0.0, 1.0))
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(scores, lambda s: s.cast("int")))
+
+
+    def checked(scores: Column) -> Column:
+        good = (F.size(scores) == n) & F.forall(scores, lambda s: s.isin(0.0, 1.0))
+        return F.when(F.coalesce(good, F.lit(False)), F.transform(scores, lambda s: s.cast("int")))
+
+    return let(F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "scores array<double>")["scores"], checked)
 
 
 def mean_score(scores: Column) -> Column:
     """Mean of 0/1 scores; 0 without any."""
-    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s.cast("double"))
-    return F.when(F.size(scores) > 0, total / F.size(scores)).otherwise(F.lit(0.0))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, s: a + s.cast("double"))
+    return let(scores, lambda xs: F.when(F.size(xs) > 0, total(xs) / F.size(xs)).otherwise(F.lit(0.0)))
 
 
 def dropped_per_ten(level: float) -> int:
@@ -120,8 +128,8 @@ def dropped_per_ten(level: float) -> int:
 def compress_words(words: Column, drop: Column | int) -> Column:
     """Drop the first `drop` of each ten words; one word survives at least."""
     drop = F.lit(drop) if isinstance(drop, int) else drop
-    kept = F.filter(words, lambda w, i: i % 10 >= drop)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(words, 1, 1))
+    kept = lambda ws: F.filter(ws, lambda w, i: i % 10 >= drop)
+    return let(words, lambda ws: let(kept(ws), lambda k: F.when(F.size(k) > 0, k).otherwise(F.slice(ws, 1, 1))))
 
 
 def stub_compress(text: Column, drop: Column | int) -> Column:
@@ -130,9 +138,13 @@ def stub_compress(text: Column, drop: Column | int) -> Column:
 
 def fact_recall(original: Column, compressed: Column) -> Column:
     """Share of the original's facts that the compressed text contains; 1 without facts."""
-    found = facts(original)
-    kept = F.size(F.filter(found, lambda f: F.contains(compressed, f)))
-    return F.when(F.size(found) == 0, F.lit(1.0)).otherwise(kept.cast("double") / F.size(found))
+    return recall_of(facts(original), compressed)
+
+
+def recall_of(found: Column, compressed: Column) -> Column:
+    """The same for facts that have been extracted."""
+    kept = lambda fs: F.size(F.filter(fs, lambda f: F.contains(compressed, f))).cast("double")
+    return let(found, lambda fs: F.when(F.size(fs) == 0, F.lit(1.0)).otherwise(kept(fs) / F.size(fs)))
 
 
 def f05(overlap: Column, n_original: Column, n_compressed: Column) -> Column:

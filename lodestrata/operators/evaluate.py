@@ -14,6 +14,11 @@ from . import stats
 Compressor = Callable[[Column, Column], Column]
 
 
+def prepare(items: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _words and _facts, which all levels share: work them out before a sweep multiplies the rows."""
+    return items.withColumns({"_words": T.ws_tokens(F.col(text)), "_facts": T.facts(F.col(text))})
+
+
 def sweep(items: DataFrame, levels: Sequence[float]) -> DataFrame:
     """Items times levels; the drop per ten is worked out once, half to even."""
     rows = F.array(*[F.struct(F.lit(float(v)).alias("level"), F.lit(T.dropped_per_ten(v)).alias("drop")) for v in levels])
@@ -21,8 +26,8 @@ def sweep(items: DataFrame, levels: Sequence[float]) -> DataFrame:
 
 
 def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.compress_words) -> DataFrame:
-    """Adds compressed, tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column."""
-    words = items.withColumn("_words", T.ws_tokens(F.col(text)))
+    """Adds compressed, tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column, and is prepared here if it has not been."""
+    words = items if "_words" in items.columns else prepare(items, text)
     kept = words.withColumn("_kept", compress(F.col("_words"), F.col("drop")))
     measured = (
         kept.withColumn("compressed", F.array_join("_kept", " "))
@@ -31,25 +36,25 @@ def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.
         .drop("_words", "_kept")
     )
     ratio = T.kept_ratio(F.col("tokens_original"), F.col("tokens_compressed"))
-    return measured.withColumn("kept_ratio", ratio).withColumn("removed", 1 - F.col("kept_ratio")).withColumn("fact_recall", T.fact_recall(F.col(text), F.col("compressed")))
+    recall = T.recall_of(F.col("_facts"), F.col("compressed"))
+    return measured.withColumn("kept_ratio", ratio).withColumn("removed", 1 - F.col("kept_ratio")).withColumn("fact_recall", recall).drop("_facts")
 
 
 def document_f05(pairs: DataFrame, keys: list[str], original: str, compressed: str) -> DataFrame:
     """Token F0.5 of whole documents: words are exploded and counted, so that a long text is no quadratic fold."""
-    long = pairs.select(*keys, F.explode(T.word_tokens(F.col(original))).alias("w"), F.lit(1).alias("o"), F.lit(0).alias("c")).unionByName(
-        pairs.select(*keys, F.explode(T.word_tokens(F.col(compressed))).alias("w"), F.lit(0).alias("o"), F.lit(1).alias("c"))
-    )
+    tagged = lambda c, o: F.transform(T.word_tokens(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(o).alias("o"), F.lit(1 - o).alias("c")))
+    long = pairs.select(*keys, F.explode(F.concat(tagged(original, 1), tagged(compressed, 0))).alias("t")).select(*keys, "t.*")
     per_word = long.groupBy(*keys, "w").agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
     totals = per_word.groupBy(*keys).agg(F.sum(F.least("o", "c")).alias("overlap"), F.sum("o").alias("n_o"), F.sum("c").alias("n_c"))
     return totals.filter("n_o > 0").select(*keys, T.f05(F.col("overlap"), F.col("n_o"), F.col("n_c")).alias("token_f05"))
 
 
-def aggregate(items: DataFrame, *keys: str) -> DataFrame:
-    """Sums, the ratio of sums, means of ratios and exact percentiles."""
+def aggregate(items: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Sums, the ratio of sums, means of ratios and exact percentiles, and `more` aggregates in the same pass."""
     return items.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("tokens_original").alias("sum_original"), F.sum("tokens_compressed").alias("sum_compressed"),
         (F.sum("tokens_compressed").cast("double") / F.sum("tokens_original")).alias("kept_micro"), F.round(F.avg("kept_ratio"), 9).alias("kept_macro"),
-        F.round(F.avg("fact_recall"), 9).alias("mean_fact_recall"), stats.percentile("kept_ratio", 95).alias("kept_p95"),
+        F.round(F.avg("fact_recall"), 9).alias("mean_fact_recall"), stats.percentile("kept_ratio", 95).alias("kept_p95"), *more,
     )
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions import text as T
 from ..operators import corpus, distill, evaluate, ledger, splits, stats, synth, windows
+from ..partitions import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +337,7 @@ AGG = "count(*) AS n_items, sum(o)::BIGINT AS sum_original, sum(c)::BIGINT AS su
 
 @query(f"WITH {SWEEP} SELECT level, {AGG} FROM m GROUP BY level")
 def eval_levels_sweep(spark, d):
-    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(nonblank(spark, d), LEVELS)), "level")
+    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(evaluate.prepare(nonblank(spark, d)), LEVELS)), "level")
 
 
 def f05_sql(pairs: str) -> str:
@@ -364,8 +366,7 @@ def eval_level_by_lang(spark, d):
     half = splits.half_split(rows).filter("half = 'eval'").select("fp")
     items = evaluate.item_metrics(evaluate.sweep(rows.join(half, "fp", "left_semi").filter(F.col("text").rlike(r"\S")), [0.2]))
     scored = items.join(evaluate.document_f05(items, ["doc_id"], "text", "compressed"), "doc_id", "left")
-    f05 = scored.groupBy("lang").agg(F.round(F.avg("token_f05"), 9).alias("mean_token_f05"))
-    return evaluate.aggregate(items, "lang").join(f05, "lang")
+    return evaluate.aggregate(scored, "lang", more=[F.round(F.avg("token_f05"), 9).alias("mean_token_f05")])
 
 
 @query(f"WITH n AS (SELECT lang, len({WS.format('text')}) AS n FROM documents) SELECT lang, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, round(coalesce(var_samp(n), 0), 6) AS variance, round(avg(n), 4) AS mean FROM n GROUP BY lang")
@@ -426,7 +427,7 @@ def task_quality_delta(spark, d):
 
 
 def quality_rows(spark, d):
-    items = nonblank(spark, d).select("doc_id", "lang", "text", T.key_points(F.array("text")).alias("points"), T.stub_compress(F.col("text"), 4).alias("short")).filter(F.size("points") > 0)
+    items = nonblank(spark, d).select("doc_id", "lang", "text", T.key_points(F.array("text")).alias("points"), T.stub_compress(F.col("text"), 4).alias("short"))
     both = evaluate.judged(evaluate.judged(items, "points", "text", "original"), "points", "short", "compressed")
     return both.withColumn("delta", F.round(F.col("compressed") - F.col("original"), 4))
 
@@ -526,9 +527,7 @@ def teacher_chunks(spark, d):
 
 def labelled(spark, d):
     words = teacher_chunks(spark, d).select("doc_id", "index", T.word_tokens(F.col("text")).alias("o"), T.word_tokens(F.col("short")).alias("c"))
-    m = distill.match_labels(words, F.col("o"), F.col("c"))
-    n_kept = F.size(F.filter("labels", lambda x: x))
-    return m.select("doc_id", "index", F.size("o").alias("n_origin"), F.size("c").alias("n_comp"), n_kept.alias("n_kept"), "num_find")
+    return distill.match_labels(words, "o", "c").drop("labels")
 
 
 @query()
@@ -563,7 +562,7 @@ qc AS (SELECT doc_id, lang, variation_rate, alignment_gap, matching_rate, 'varia
 
 
 def controlled(spark, d):
-    return distill.quality_control(metric_rows(spark, d), 0.05, 0.10, id_col="doc_id")
+    return distill.quality_control(cut(metric_rows(spark, d)), 0.05, 0.10, id_col="doc_id")
 
 
 @query(f"WITH {QC} SELECT doc_id, dropped_by FROM qc")

@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from . import textarrays as ta
 from .langid import held_out
 
-SAMPLE_DOCS, ROUNDS, STEPS, THRESHOLD, EMPTY_SCORE = 3000, 2, 150, 0.7, 0.0
+SAMPLE_DOCS, ROUNDS, STEPS, THRESHOLD, EMPTY_SCORE = 3000, 2, 90, 0.7, 0.0
 #: Upper edges of the bins of each feature.
 BINS = {
     "words": (1, 2, 4, 8, 16, 40, 120),
@@ -176,10 +177,10 @@ def _counts(x: Lines, y: np.ndarray) -> np.ndarray:
     """Feature counts weighted by y, in the layout of the unary weights."""
     out = np.zeros((3, N_OWN + 1))
     joined = np.flatnonzero(x.doc[1:] == x.doc[:-1])
-    for k in range(x.own.shape[1]):
-        np.add.at(out[0], x.own[:, k], y)
-        np.add.at(out[1], x.own[joined, k], y[joined + 1])
-        np.add.at(out[2], x.own[joined + 1, k], y[joined])
+    width = x.own.shape[1]
+    for k, (rows, weight) in enumerate(((slice(None), y), (joined, y[joined + 1]), (joined + 1, y[joined]))):
+        at = x.own[rows].astype(np.int64).ravel()
+        out[k] = np.bincount(np.where(at < 0, N_OWN, at), weights=np.repeat(weight, width), minlength=N_OWN + 1)
     return np.append(out[:, :N_OWN].ravel(), y.sum())
 
 
@@ -244,7 +245,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op7_quality_crf(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = held_out(F.col("doc_id"), 4, 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~out).select("doc_id", "quality")
     model = train(labels, docs.filter(~out).select("doc_id", "text"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
+
+__all__ = ["BROADCAST_ROWS", "LOWER", "NON_SPACES", "SPACES", "UPPER", "cut", "id_key", "maybe_broadcast", "quoted", "steps"]
+
 #: White space and word patterns of the contracts.
 SPACES = r"[\x20\x09-\x0D]+"
 NON_SPACES = r"[^\x20\x09-\x0D]+"
@@ -27,24 +29,6 @@ def id_key(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit(""))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; where none is set (tests), a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: lost executors cost nothing that was done before."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bind(value: Column, body) -> Column:
-    """body(value), with `value` evaluated once even though lambdas in `body` read it many times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def steps(first: int | Column, last: Column) -> Column:
     """[first, ..., last]; empty when last < first (sequence() would count down)."""
     first = F.lit(first) if isinstance(first, int) else first

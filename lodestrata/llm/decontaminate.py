@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .common import BROADCAST_ROWS, LOWER, UPPER, steps
 
 WINDOW, GRAM, SALTS = 10, 5, 16
@@ -170,7 +171,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return contamination(docs, bench).drop("text_xxhash64")
+    return contamination(spread(docs.select("doc_id", "text")), bench).drop("text_xxhash64")
 
 
 ORACLE = r"""

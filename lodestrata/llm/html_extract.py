@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
+
 SAMPLE_PAGES = 2000
 #: HTML element kinds.
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object".split())
@@ -263,5 +265,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", sample_pages: int = S
 
 
 def op10_html_extract(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from . import textarrays as ta
 from .common import quoted
 
@@ -201,7 +202,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     out = held_out(F.col("doc_id"), 5, 0)
     model = train(docs.filter(~out).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")

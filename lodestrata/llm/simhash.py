@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..partitions import spread
 from .common import cut, id_key, quoted
 
 RADIUS, SHINGLE, SEED, MAX_BUCKET, SMALL = 3, 3, 42, 1_000_000, 1024
@@ -260,4 +261,4 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_xxhash64")
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("text_xxhash64")

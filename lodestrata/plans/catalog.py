@@ -362,9 +362,10 @@ m AS (SELECT doc_id, lang, len(w)::BIGINT AS o, len(k)::BIGINT AS c, len(k)::DOU
 SELECT lang, {AGG}, round(avg(f), 9) AS mean_token_f05 FROM m GROUP BY lang""")
 def eval_level_by_lang(spark, d):
     """The flagship: deduplicate, keep the eval half, compress at 0.2, measure, aggregate by language."""
-    rows = splits.first_of(source_rows(spark, d), ["fp"], [F.col("doc_id")]).withColumn("subset", F.lit("all"))
-    half = splits.half_split(rows).filter("half = 'eval'").select("fp")
-    items = evaluate.item_metrics(evaluate.sweep(rows.join(half, "fp", "left_semi").filter(F.col("text").rlike(r"\S")), [0.2]))
+    # only fingerprints and ids are split and deduplicated; texts move once, to the chosen ids
+    firsts = cut(source_rows(spark, d).groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("subset", F.lit("all")))
+    chosen = firsts.join(splits.half_split(firsts).filter("half = 'eval'").select("fp"), "fp").select("doc_id")
+    items = evaluate.item_metrics(evaluate.sweep(nonblank(spark, d).join(chosen, "doc_id", "left_semi"), [0.2]))
     scored = items.join(evaluate.document_f05(items, ["doc_id"], "text", "compressed"), "doc_id", "left")
     return evaluate.aggregate(scored, "lang", more=[F.round(F.avg("token_f05"), 9).alias("mean_token_f05")])
 

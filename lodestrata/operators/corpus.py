@@ -58,10 +58,12 @@ def golden_errors() -> Column:
     )
 
 
-def duplicates(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """Rows after the first of each key, with the position of the first."""
-    first = Window.partitionBy(key)
-    return rows.withColumn("first_pos", F.min(pos).over(first)).filter(F.col(pos) > F.col("first_pos"))
+def duplicates(rows: DataFrame, key: str, pos: str, salts: int = 16) -> DataFrame:
+    """Rows after the first of each key, with the position of the first. A key with many rows is dealt over `salts` tasks."""
+    firsts = rows.groupBy(key).agg(F.min(pos).alias("first_pos"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    spread = firsts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(pos), F.lit(salts)).cast("int"))
+    return salted.join(spread, [key, "_s"]).filter(F.col(pos) > F.col("first_pos")).drop("_s")
 
 
 def first_error(errors: DataFrame, pos: str, message: str) -> DataFrame:

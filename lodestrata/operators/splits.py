@@ -23,20 +23,23 @@ def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 PREFIX = 3
 
 
-def half_split(df: DataFrame, subset: str = "subset", fp: str = "fp") -> DataFrame:
-    """(subset, fp, rank, n, half): of each subset's n distinct fingerprints in order, the first ceil(n / 2) are eval.
+def range_rank(df: DataFrame, groups: list[str], digest: str, ties: list[str] | None = None) -> DataFrame:
+    """`df` with `rank` (from 1, in order of a hexadecimal digest) and `n` (rows) of each group.
 
-    A rank is the number of fingerprints in earlier ranges plus the rank within a
-    range, so that a subset with most of the rows is not sorted in one task.
+    A rank is the number of rows in earlier digest ranges plus the rank within a
+    range, so that a group with most of the rows is not sorted in one task.
     """
-    keys = df.select(subset, fp).distinct().withColumn("_p", F.substring(fp, 1, PREFIX))
-    sizes = keys.groupBy(subset, "_p").agg(F.count(F.lit(1)).alias("_c"))
-    ranges = Window.partitionBy(subset).orderBy("_p")
-    sizes = sizes.withColumn("_before", F.sum("_c").over(ranges) - F.col("_c")).withColumn("n", F.sum("_c").over(Window.partitionBy(subset)))
-    inside = keys.withColumn("_r", F.row_number().over(Window.partitionBy(subset, "_p").orderBy(fp)))
-    rank = F.col("_before") + F.col("_r")
-    joined = inside.join(sizes.drop("_c"), [subset, "_p"])
-    return joined.select(subset, fp, rank.alias("rank"), "n", F.when(rank <= F.ceil(F.col("n") / 2), EVAL).otherwise(TRAIN).alias("half"))
+    tagged = df.withColumn("_p", F.substring(digest, 1, PREFIX))
+    sizes = tagged.groupBy(*groups, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy(*groups).orderBy("_p")) - F.col("_c")).withColumn("n", F.sum("_c").over(Window.partitionBy(*groups)))
+    inside = tagged.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_p").orderBy(digest, *(ties or []))))
+    return inside.join(sizes.drop("_c"), [*groups, "_p"]).withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+
+
+def half_split(df: DataFrame, subset: str = "subset", fp: str = "fp") -> DataFrame:
+    """(subset, fp, rank, n, half): of each subset's n distinct fingerprints in order, the first ceil(n / 2) are eval."""
+    ranked = range_rank(df.select(subset, fp).distinct(), [subset], fp)
+    return ranked.select(subset, fp, "rank", "n", F.when(F.col("rank") <= F.ceil(F.col("n") / 2), EVAL).otherwise(TRAIN).alias("half"))
 
 
 def boundary(split: DataFrame, subset: str = "subset") -> DataFrame:

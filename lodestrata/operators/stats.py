@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
+
 #: One-sided 95 % and 80 % power.
 Z_ALPHA, Z_POWER = 1.6449, 0.8416
 
@@ -98,14 +100,13 @@ def distributions(df: DataFrame, metrics: list[str], scope: str) -> DataFrame:
 def drop_top(df: DataFrame, metric: str, fraction: float, id_col: str = "id") -> DataFrame:
     """`df` with `dropped`: the ceil(fraction * n) rows with the largest (metric, id).
 
-    Ranks come from range-partitioned pieces and the sizes of the pieces before
-    them, so no task sorts all rows.
+    Rows are range-partitioned by (metric, id), so that many equal metrics are
+    dealt out by id; a rank is the size of the ranges before plus the rank inside.
     """
-    buckets = F.width_bucket(F.col(metric), F.lit(-1.0), F.lit(2.0), F.lit(3000))
-    tagged = df.withColumn("_b", buckets)
+    order = [F.desc(metric), F.desc(id_col)]
+    tagged = cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
     sizes = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    above = Window.orderBy(F.desc("_b"))
-    sizes = sizes.withColumn("_above", F.sum("_c").over(above) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    inside = Window.partitionBy("_b").orderBy(F.desc(metric), F.desc(id_col))
-    ranked = tagged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(sizes.drop("_c")), "_b")  # 3,002 rows at most
+    sizes = sizes.withColumn("_above", F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
+    inside = Window.partitionBy("_b").orderBy(*order)
+    ranked = tagged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(sizes.drop("_c")), "_b")  # a row for each partition
     return ranked.withColumn("dropped", F.col("_above") + F.col("_r") <= F.ceil(F.lit(float(fraction)) * F.col("_n"))).drop("_b", "_r", "_above", "_n")

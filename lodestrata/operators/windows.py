@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import range_rank
+
 #: text -> (start, end) of each subword.
 Tokenizer = Callable[[str], list[tuple[int, int]]]
 
@@ -126,7 +128,7 @@ def epoch_order(rows: DataFrame, epochs: int, seed: int, key: str) -> DataFrame:
     """(epoch, key, place): a reproducible order of each epoch by a hash of seed, epoch and key."""
     spread = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     order = F.sha2(F.concat_ws(":", (F.col("epoch") + seed).cast("string"), F.col(key).cast("string")), 256)
-    return spread.withColumn("_o", order).withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy("_o", key))).drop("_o")
+    return range_rank(spread.withColumn("_o", order), ["epoch"], "_o", [key]).select(key, "epoch", F.col("rank").alias("place"))
 
 
 def batches(ordered: DataFrame, size: int, labels: str = "labels", cls: int = 101, sep: int = 102, pad: int = 0) -> DataFrame:

@@ -28,8 +28,6 @@ def brute(rows, model, items):
     bad = {i for i, *_, hit in brute_contamination([(r["doc_id"], r["text"]) for r in rows], items) if hit}
     rows = [r for r in rows if r["doc_id"] not in bad]
     con = duckdb.connect()
-
-
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
     taken = con.execute(f"SELECT doc_id, CASE WHEN size > 0 THEN taken // size ELSE 0 END AS n FROM ({mixing.ORACLE})").fetchall()
     return Counter({i: int(n) for i, n in taken if n})

@@ -21,6 +21,17 @@ def pairs(text: str) -> dict[str, int]:
     return {k: int(v) for k, v in out.items()}
 
 
+def lists(text: str) -> dict[str, list[int]]:
+    """name=1+2+3,name=4; a name that is given twice is refused."""
+    out: dict[str, list[int]] = {}
+    for part in text.split(","):
+        name, _, numbers = part.partition("=")
+        if name in out:
+            raise ValueError(f"{name} is given twice")
+        out[name] = [int(n) for n in numbers.split("+")]
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestrata")
     p.add_argument("--master", default=None, help="Spark master; spark-submit's if not given")
@@ -38,7 +49,10 @@ def parser() -> argparse.ArgumentParser:
     add("eval-sizing", "--run", "--level", out=("--out", {}))
     add("golden-validate", files=("files", {"nargs": "+"}))
     add("golden-manifest", "--subsets", "--data-dir", "--out")
-    add("golden-build", "--manifest", "--data-dir", "--counts", "--out", seed=("--seed", {"type": int, "default": 1}), low=("--min-tokens", {"type": int, "default": 500}), high=("--max-tokens", {"type": int, "default": 4000}), counter=("--counter", {"default": "whitespace"}), vocabulary=("--vocabulary", {}))
+    add("golden-build", "--manifest", "--data-dir", "--counts", "--out", seed=("--seed", {"type": int, "default": 1}), low=("--min-tokens", {"type": int, "default": 500}), high=("--max-tokens", {"type": int, "default": 4000}), counter=("--counter", {"default": "whitespace"}), vocabulary=("--vocabulary", {}), pattern=("--pattern", {}))
+    add("golden-build-synthetic", "--seeds", "--out")
+    add("golden-manifest-synthetic", "--review-status", "--reviewer", "--out", golden=("--golden", many), notes=("--review-notes", {"default": ""}))
+    add("corpus-validate-synthetic", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}))
     add("corpus-build", "--manifest", "--data-dir", "--out", "--out-manifest")
     add("corpus-validate", "--manifest", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}))
     add("corpus-build-synthetic", "--targets", "--out", "--out-manifest", golden=("--golden", {"nargs": "*", "default": []}))
@@ -69,8 +83,13 @@ def run(a: argparse.Namespace) -> object:
         if a.out:
             sinks.write_json(a.out, out)
         return out
-    if a.command in ("golden-validate", "corpus-validate"):
-        found = records.golden_errors(spark, a.files) if a.command == "golden-validate" else jobs.corpus_problems(spark, a.files, load(a.manifest), a.golden)
+    if a.command in ("golden-validate", "corpus-validate", "corpus-validate-synthetic"):
+        if a.command == "golden-validate":
+            found = records.golden_errors(spark, a.files)
+        elif a.command == "corpus-validate":
+            found = jobs.corpus_problems(spark, a.files, load(a.manifest), a.golden)
+        else:
+            found = jobs.synthetic_problems(spark, a.files, a.golden)
         lines = [f"{r['id']}: {r['error']}" for r in found.orderBy("id", "error").collect()]
         if lines:
             raise ValueError("\n".join(lines))
@@ -78,7 +97,11 @@ def run(a: argparse.Namespace) -> object:
     if a.command == "golden-manifest":
         return jobs.split_manifest(spark, a.subsets, a.data_dir, a.out)
     if a.command == "golden-build":
-        return jobs.build_exam(spark, load(a.manifest), a.data_dir, pairs(a.counts), a.seed, a.out, counters.build(a.counter, a.vocabulary), a.min_tokens, a.max_tokens)
+        return jobs.build_exam(spark, load(a.manifest), a.data_dir, pairs(a.counts), a.seed, a.out, counters.build(a.counter, a.vocabulary, a.pattern), a.min_tokens, a.max_tokens)
+    if a.command == "golden-build-synthetic":
+        return jobs.build_synthetic_exam(spark, lists(a.seeds), a.out)
+    if a.command == "golden-manifest-synthetic":
+        return jobs.synthetic_exam_manifest(spark, a.golden, a.out, {"status": a.review_status, "reviewer": a.reviewer, "notes": a.review_notes})
     if a.command == "corpus-build":
         return jobs.build_corpus(spark, load(a.manifest), a.data_dir, a.out, a.out_manifest)
     if a.command == "corpus-build-synthetic":

@@ -6,6 +6,8 @@ Java's and RE2's regular expressions.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -21,6 +23,9 @@ ABBREVIATIONS = (
     "U.S.C", "U.S", "H.R", "D.C", "Pub. L. No", "Pub. L", "Pub", "No", "Mr", "Mrs", "Dr", "Fig", "e.g", "i.e", "etc", "vs", "al", "Vol", "pp", "ch", "sec",
 )
 GUARD = "\ue000"
+JUDGE_MARK, JUDGE_FENCE = "[grade this answer]", "~~~"
+JUDGE_RULE = 'For each key point give 1 if the answer states it, else 0. Reply with {"scores": [...]} only.'
+JUDGE_TASK = r"(?s)\A\[grade this answer\]\n([^\n]*)\n[^\n]*\n(~~~[0-9a-f]{16})\n(.*)\n\2\z"
 SHORT_ANSWER, MAX_POINTS, MIN_SIGNIFICANT = 80, 6, 3
 
 
@@ -114,6 +119,25 @@ def parse_judge(reply: Column, n: Column) -> Column:
     return let(F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "scores array<double>")["scores"], checked)
 
 
+def judge_prompt(points: Column, answer: Column) -> Column:
+    """A judge's task: the key points as one line of JSON, the rule, and the answer between fences that it cannot contain (they hold its digest)."""
+    fence = F.concat(F.lit(JUDGE_FENCE), F.substring(F.sha2(answer, 256), 1, 16))
+    return F.concat_ws("\n", F.lit(JUDGE_MARK), F.to_json(F.struct(points.alias("key_points"))), F.lit(JUDGE_RULE), fence, answer, fence)
+
+
+def judge_task(points: Sequence[str], answer: str) -> str:
+    """The same for one answer, in Python."""
+    fence = JUDGE_FENCE + hashlib.sha256(answer.encode("utf-8", "replace")).hexdigest()[:16]
+    return "\n".join([JUDGE_MARK, json.dumps({"key_points": list(points)}, ensure_ascii=False, separators=(",", ":")), JUDGE_RULE, fence, answer, fence])
+
+
+def split_judge_prompt(prompt: Column) -> Column:
+    """struct(key_points, answer) of a judge's task; null for any other text."""
+    part = lambda k: F.regexp_extract(prompt, JUDGE_TASK, k)
+    points = F.from_json(part(1), "key_points array<string>")["key_points"]
+    return F.when(prompt.rlike(JUDGE_TASK), F.struct(points.alias("key_points"), part(3).alias("answer")))
+
+
 def mean_score(scores: Column) -> Column:
     """Mean of 0/1 scores; 0 without any."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, s: a + s.cast("double"))

@@ -123,6 +123,47 @@ def build_synthetic(spark: SparkSession, targets: Mapping[str, int], golden: Seq
     return sinks.write_corpus(entries.drop("family_ord"), out, out_manifest, ["load_type", "source.family", "source.seed"], targets=dict(targets))
 
 
+def build_synthetic_exam(spark: SparkSession, seeds: Mapping[str, Sequence[int]], out: str) -> int:
+    """Exam rows of {family: seeds}, in order of family and seed."""
+    rows = synth.exam_rows(synth.families(spark), seeds)
+    source = F.struct(F.lit("synthetic").alias("dataset"), F.col("family").alias("subset"), F.lit("public").alias("license"), F.lit("eval").alias("split"), F.col("fp").alias("content_sha1"), "family", "seed")
+    exam = rows.select(F.concat_ws("-", F.lit("eval"), "family", "seed").alias("id"), "load_type", "prompt", "key_points", source.alias("source"))
+    return sinks.write_lines(exam, out, ["source.family", "source.seed"])
+
+
+def synthetic_exam_manifest(spark: SparkSession, golden: Sequence[str], out: str, review: Mapping[str, str]) -> dict:
+    """Families with their seed ranges and the exam's seeds of each, once every row is the one that its family and seed give."""
+    fams = synth.families(spark)
+    exam = records.read_golden(spark, golden).select("id", "load_type", "prompt", F.col("source.family").alias("family"), F.col("source.seed").alias("seed"))
+    wrong = _synthetic_errors(exam, fams, "eval").orderBy("id", "error").first()
+    if wrong:
+        raise ValueError(f"{wrong['id']}: {wrong['error']}")
+    used = {r["family"]: sorted(r["seeds"]) for r in exam.groupBy("family").agg(F.collect_list("seed").alias("seeds")).collect()}
+    entries = [
+        {"family": r["family"], "load_type": r["load_type"], "eval_range": [r["eval_lo"], r["eval_hi"]], "train_range": [r["train_lo"], r["train_hi"]], "seeds": used.get(r["family"], [])}
+        for r in fams.orderBy("family_ord").collect()
+    ]
+    manifest = {"schema_version": 1, "files": [{"file": Path(p).name, "sha256": sinks.sha256_file(p)} for p in golden], "families": entries, "review": dict(review)}
+    sinks.write_json(out, manifest)
+    return manifest
+
+
+def _synthetic_errors(rows: DataFrame, fams: DataFrame, side: str) -> DataFrame:
+    """(id, error) of rows (id, load_type, prompt, family, seed) with a seed of another range or a prompt that is not their seed's."""
+    seeds = synth.seed_errors(rows, fams, side).select("id", "error")
+    prompts = synth.regeneration_errors(rows, fams).select("id", F.lit("prompt is not what family and seed give").alias("error"))
+    return seeds.unionByName(prompts)
+
+
+def synthetic_problems(spark: SparkSession, paths: Sequence[str], golden: Sequence[str]) -> DataFrame:
+    """(id, error) of synthetic corpus files: all that corpus_problems finds, with families as subsets, and seeds and prompts."""
+    fams = synth.families(spark)
+    known = [{"name": f[0], "license": "public", "train_use": True, "train_boundary_fingerprint": ""} for f in synth.FAMILIES]
+    rows = records.read_corpus(spark, list(paths)).select("id", "load_type", "prompt", "source.family", "source.seed", F.col("source.content_sha1").alias("fp"))
+    digests = rows.filter(~F.col("fp").eqNullSafe(F.sha1("prompt"))).select("id", F.lit("content_sha1 is not the prompt's").alias("error"))
+    return corpus_problems(spark, paths, {"subsets": known}, golden).unionByName(_synthetic_errors(rows.drop("fp"), fams, "train")).unionByName(digests)
+
+
 def evaluate_run(spark: SparkSession, config: records.RunConfig, golden: Sequence[str], out: str, run_id: str, expect_sha256: str | None = None, journal: str | None = None) -> Path:
     """Compress the exam at each level, measure, judge mechanically, and write a run folder. Calls already in the journal are reused."""
     from hashlib import sha256

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,10 +29,44 @@ def candidates(fams: DataFrame, low: str, high: str) -> DataFrame:
     return fams.withColumn("seed", F.explode(F.sequence(low, high)))
 
 
+def picked() -> Column:
+    """Slot -> option: each slot takes the one that a hash of family, seed and slot points to."""
+    return F.transform_values("slots", lambda k, v: F.get(v, T.hash_pick(F.size(v), F.col("family"), F.col("seed"), k)))
+
+
 def render(rows: DataFrame) -> DataFrame:
-    """Adds prompt and its SHA-1: each slot takes the option that a hash of family, seed and slot points to."""
-    picked = F.transform_values("slots", lambda k, v: F.get(v, T.hash_pick(F.size(v), F.col("family"), F.col("seed"), k)))
-    return rows.withColumn("prompt", T.fill_template(F.col("template"), picked)).withColumn("fp", F.sha1("prompt"))
+    """Adds prompt and its SHA-1."""
+    return rows.withColumn("prompt", T.fill_template(F.col("template"), picked())).withColumn("fp", F.sha1("prompt"))
+
+
+def exam_rows(fams: DataFrame, seeds: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Rendered rows of {family: seeds} with key_points (the options that were picked). Unknown families, repeated seeds and seeds outside the eval range are refused."""
+    known = {r["family"] for r in fams.select("family").collect()}
+    if not seeds or set(seeds) - known:
+        raise ValueError(f"unknown families {sorted(set(seeds) - known)}" if seeds else "no seeds")
+    again = sorted(f for f, s in seeds.items() if len(set(s)) < len(s))
+    if again:
+        raise ValueError(f"seeds are repeated for {again}")
+    wanted = fams.sparkSession.createDataFrame([(f, int(s)) for f, each in seeds.items() for s in each], "family string, seed int")
+    rows = wanted.join(F.broadcast(fams), "family")
+    wrong = seed_errors(rows.select("load_type", "family", "seed"), fams, "eval").orderBy("family", "seed").first()
+    if wrong:
+        raise ValueError(f"{wrong['family']} {wrong['seed']}: {wrong['error']}")
+    return render(rows).withColumn("key_points", F.array_distinct(F.map_values(picked())))
+
+
+def class_targets(base: int, percent: Mapping[str, float], anchor: str = "rag") -> dict[str, int]:
+    """Sizes of the other classes when `base` rows of the anchor class are its percentage of the whole."""
+    if base < 1 or percent.get(anchor, 0) <= 0 or abs(sum(percent.values()) - 100) > 1e-9:
+        raise ValueError("percentages must add up to 100, and the anchor must have rows and a share")
+    total = round(base / (percent[anchor] / 100))
+    return {c: round(total * p / 100) for c, p in percent.items() if c != anchor}
+
+
+def mix_deviations(counts: DataFrame, percent: Mapping[str, float], tolerance: float = 5.0) -> DataFrame:
+    """(load_type, n, pct) of classes that are more than `tolerance` points off, given (load_type, n, pct). Classes without a share are off by all they have."""
+    want = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c, p in percent.items() for x in (c, float(p))]), F.col("load_type")), F.lit(0.0))
+    return counts.filter(F.abs(F.col("pct") - want) > tolerance)
 
 
 def seed_plan(rendered: DataFrame, targets: dict[str, int], golden: DataFrame) -> DataFrame:

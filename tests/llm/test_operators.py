@@ -202,6 +202,33 @@ def test_lm_score_against_brute_force(spark, docs, empty):
     assert lm_score.score(docs, none).count() == len(DOCS) and lm_score.score(empty, model).count() == 0
 
 
+def test_lm_score_counts_every_word_and_bigram(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 20_000, raising=False)
+    monkeypatch.setattr(lm_score, "PART", 20_000, raising=False)
+    rows = [(i, " ".join(f"w{i * 450 + k}x w{(i * 7 + k) % 900}" for k in range(450))) for i in range(90)]
+    rows += [(200 + i, r[1]) for i, r in enumerate(rows[:5])]
+    targets = set(range(0, 90, 2))
+    steps = {i: list(zip(["</s>", *t.split()], [*t.split(), "</s>"])) for i, t in rows}
+    types = len({w for _, t in rows for w in t.split()})
+    assert types > 40_000  # once, words beyond the 32,768th were one unknown word
+    want = defaultdict(list)
+    for chosen in (targets, set(steps)):
+        two = Counter(s for i in chosen for s in steps[i])
+        one, total = Counter(), sum(two.values())
+        for (_, b), n in two.items():
+            one[b] += n
+        for i, pairs in steps.items():
+            share = lambda a: lm_score.BIGRAM_WEIGHT if one[a] else 0.0
+            single = lambda b: (one[b] + lm_score.ADD) / (total + lm_score.ADD * (types + 2))
+            want[i].append(sum(-math.log(share(a) * two[a, b] / max(1, one[a]) + (1 - share(a)) * single(b)) for a, b in pairs) / len(pairs))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marked = lm_score.mark_targets(d, spark.createDataFrame([(i,) for i in targets], "doc_id long"))
+    got = lm_score.score(d, lm_score.train(marked)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r["loss_target"], r["loss_background"]] == pytest.approx(want[r["doc_id"]], abs=1e-9)
+
+
 # ---- op5
 
 def test_langid_held_out_accuracy(spark):

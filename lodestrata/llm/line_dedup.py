@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
 Overlapping documents are found through shared rare lines: lines of at least
-`min_words` words, compared by a hash of the trimmed line. Each line pairs every
-later document that has it with the first one (the smallest id): a line that m
+`min_words` words, compared by a hash of the trimmed line, and from each place of
+shorter lines the shortest run of them that reaches `min_words` words together
+(verse, lists, tables), compared by a hash of its lines. A copied run that the rule
+below deletes has such a line or such a run. Each of them pairs every later document that has it with the first one (the smallest id): a line that m
 documents share gives m - 1 pairs, not all of them, and no line is too frequent to
 count. Each pair's whole line sequences are aligned with patience diff (common
 head and tail, then lines unique to both in a longest increasing run, then again
@@ -25,11 +27,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NON_SPACES, cut, quoted
+from .textarrays import mix
 
 MIN_WORDS, SALTS = 8, 16
 
@@ -131,6 +136,30 @@ def _aligner(min_words: int):
     return run
 
 
+def _runs(h: Column, w: Column, min_words: int) -> Column:
+    """Hashes of the distinct shortest runs of lines of under `min_words` words each, one from each place, that reach `min_words` words together."""
+
+    @F.pandas_udf("array<long>")
+    def run(hashes: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for lines, n in zip(hashes, words):
+            lines, n, keys = lines.view(np.uint64), np.asarray(n, np.int64), np.empty(0, np.uint64)
+            if min_words > 1 and (n < min_words).sum() > 1:
+                ends = np.concatenate([[0], np.cumsum(n)])
+                end = np.searchsorted(ends, ends[:-1] + min_words)  # the run from i is lines i to end[i] - 1
+                long = np.concatenate([[0], np.cumsum(n >= min_words)])
+                at = np.flatnonzero((end < len(ends)) & (long[np.minimum(end, len(n))] == long[:-1]))
+                key, place = np.full(len(at), 1, np.uint64), at.copy()
+                while len(live := np.flatnonzero(place < end[at])):
+                    key[live] = mix(key[live] * np.uint64(31) + lines[place[live]])
+                    place[live] += 1
+                keys = np.unique(key)
+            out.append(keys.view(np.int64))
+        return pd.Series(out)
+
+    return run(h, w)
+
+
 def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, x, deleted): id, hash of the text and places (from 0) of the lines to delete, for documents that lose any. Ids are integers."""
     line = lambda s: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.regexp_count(s, F.lit(NON_SPACES)).alias("w"))
@@ -139,7 +168,8 @@ def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     docs = cut(docs.select("d", "x", F.col("s.h").alias("h"), F.col("s.w").alias("w")))
     rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
-    has = docs.select("d", F.explode(rare).alias("l"))
+    keys = F.array_distinct(F.concat(rare, _runs(F.col("h"), F.col("w"), min_words)))
+    has = docs.select("d", F.explode(keys).alias("l"))
     firsts = has.groupBy("l").agg(F.min("d").alias("f"), F.max("d").alias("m")).filter("m > f").select("l", "f")
     salted = firsts.select("l", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     pairs = has.withColumn("s", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["l", "s"]).filter("d > f").select("f", "d").distinct()

@@ -336,6 +336,13 @@ def test_line_dedup_edges(docs, empty):
     assert (3, None) in by_id and (8, "") in by_id and (7, LONG) in by_id and (None, "orphan text") in by_id
 
 
+def test_line_dedup_finds_runs_of_short_lines(spark):
+    verse = "\n".join(f"short verse line {k}" for k in range(15))
+    rows = [(1, f"one own\n{verse}\nits end"), (2, f"other own text\n\n{verse}\nanother"), (3, "short verse line 3\nof its own"), (4, "a b c\n\nd e f\ng h"), (5, "x\na b c\n\nd e f\ng h\ny")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "other own text\n\nanother", 3: rows[2][1], 4: rows[3][1], 5: "x\ny"}
+
+
 # ---- op7
 
 def test_crf_marginals_against_enumeration():

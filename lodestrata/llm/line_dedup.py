@@ -6,7 +6,8 @@ shorter lines the shortest run of them that reaches `min_words` words together
 (verse, lists, tables), compared by a hash of its lines. A copied run that the rule
 below deletes has such a line or such a run. Each of them pairs every later document that has it with the first one (the smallest id): a line that m
 documents share gives m - 1 pairs, not all of them, and no line is too frequent to
-count. Each pair's whole line sequences are aligned with patience diff (common
+count. With `all_holders`, lines that are left are then tried against the other
+earlier holders, in growing groups, until none is untried. Each pair's whole line sequences are aligned with patience diff (common
 head and tail, then lines unique to both in a longest increasing run, then again
 between those), and aligned runs of consecutive lines with at least `min_words`
 words are deleted from the later document.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NON_SPACES, cut, quoted
@@ -160,30 +161,68 @@ def _runs(h: Column, w: Column, min_words: int) -> Column:
     return run(h, w)
 
 
-def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """Pairs (f, d) of ids -> (d, x, deleted): the lines of d that are copied from any of its f."""
+    partners = pairs.join(docs.select(F.col("d").alias("f"), F.col("h").alias("fh")), "f").select("d", F.col("fh").alias("h"))
+    later = docs.join(pairs.select("d").distinct(), "d", "left_semi").select("d", "x", F.lit(0).alias("k"), "h", "w")
+    streams = later.select("d", "x").distinct()
+    theirs = partners.join(streams, "d").select("d", "x", F.lit(1).alias("k"), "h", F.lit(None).cast("array<int>").alias("w"))
+    rows = later.unionByName(theirs).repartition("d", "x").sortWithinPartitions("d", "x", "k")
+    return rows.mapInArrow(_aligner(min_words), "d long, x long, deleted array<int>")
+
+
+def _keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, l): hashes of the long lines and of the runs of short lines of each document."""
+    rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
+    return docs.select("d", F.explode(F.array_distinct(F.concat(rare, _runs(F.col("h"), F.col("w"), min_words)))).alias("l"))
+
+
+def _left(docs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """(d, l): the keys of lines that are not deleted. A deleted line ends a run of short lines, as a long line does; its own key is dropped."""
+    joined = docs.join(gone, ["d", "x"], "left").withColumn("g", F.coalesce("deleted", F.array().cast("array<int>")))
+    deleted = lambda i: F.array_contains(F.col("g"), i)
+    lines = F.filter(F.arrays_zip("h", "w"), lambda z, i: ~deleted(i) & (z["w"] >= min_words))
+    words = F.transform("w", lambda v, i: F.when(deleted(i), F.lit(min_words)).otherwise(v))
+    keyed = joined.select("d", F.transform(lines, lambda z: z["h"]).alias("own"), "h", words.alias("w"))
+    return keyed.select("d", F.explode(F.array_distinct(F.concat("own", _runs(F.col("h"), F.col("w"), min_words)))).alias("l")).distinct()
+
+
+def _later_holders(docs: DataFrame, has: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
+    """`gone`, with what other earlier holders of a line show to be copied. Keys that are left are tried against the 2nd and 3rd holder, then the next 4, 8, ..."""
+    holders, low, high = None, 2, 3
+    while True:
+        left = _left(docs, gone, min_words)
+        if holders is None:
+            shared = has.join(left.select("l").distinct(), "l", "left_semi").distinct()
+            holders = cut(shared.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d"))))
+        todo = cut(left.join(holders, ["l", "d"]).filter(F.col("r") > low))
+        if todo.isEmpty():
+            return gone
+        tried = holders.filter(F.col("r").between(low, high)).select("l", F.col("d").alias("f"), F.col("r").alias("rf"))
+        pairs = todo.join(tried, "l").filter("rf < r").select("f", "d").distinct()
+        both = gone.unionByName(_aligned(docs, pairs, min_words))
+        gone = cut(both.groupBy("d", "x").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted")))
+        low, high = high + 1, 2 * high + 1
+
+
+def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_holders: bool = False) -> DataFrame:
     """(d, x, deleted): id, hash of the text and places (from 0) of the lines to delete, for documents that lose any. Ids are integers."""
     line = lambda s: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.regexp_count(s, F.lit(NON_SPACES)).alias("w"))
     docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("x"), F.transform(F.split(text_col, "\n"), line).alias("s")
     )
     docs = cut(docs.select("d", "x", F.col("s.h").alias("h"), F.col("s.w").alias("w")))
-    rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
-    keys = F.array_distinct(F.concat(rare, _runs(F.col("h"), F.col("w"), min_words)))
-    has = docs.select("d", F.explode(keys).alias("l"))
+    has = _keys(docs, min_words)
     firsts = has.groupBy("l").agg(F.min("d").alias("f"), F.max("d").alias("m")).filter("m > f").select("l", "f")
     salted = firsts.select("l", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     pairs = has.withColumn("s", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["l", "s"]).filter("d > f").select("f", "d").distinct()
-    partners = pairs.join(docs.select(F.col("d").alias("f"), F.col("h").alias("fh")), "f").select("d", F.col("fh").alias("h"))
-    later = docs.join(pairs.select("d").distinct(), "d", "left_semi").select("d", "x", F.lit(0).alias("k"), "h", "w")
-    streams = later.select("d", "x").distinct()
-    theirs = partners.join(streams, "d").select("d", "x", F.lit(1).alias("k"), "h", F.lit(None).cast("array<int>").alias("w"))
-    rows = later.unionByName(theirs).repartition("d", "x").sortWithinPartitions("d", "x", "k")
-    return rows.mapInArrow(_aligner(min_words), "d long, x long, deleted array<int>")
+    gone = _aligned(docs, pairs, min_words)
+    return _later_holders(docs, has, cut(gone), min_words) if all_holders else gone
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_holders: bool = False) -> DataFrame:
     """`df` with the text cleaned, and __ls_lines and __ls_deleted (numbers of lines)."""
-    gone = copied_lines(df, id_col, text_col, min_words).toDF("__ls_d", "__ls_gx", "__ls_gone")
+    gone = copied_lines(df, id_col, text_col, min_words, all_holders).toDF("__ls_d", "__ls_gx", "__ls_gone")
     tagged = df.withColumn("__ls_x", F.xxhash64(text_col))
     joined = tagged.join(gone, (F.col(id_col).cast("long") == F.col("__ls_d")) & (F.col("__ls_x") == F.col("__ls_gx")), "left")
     left = F.filter(F.split(text_col, "\n"), lambda s, i: ~F.array_contains("__ls_gone", i))
@@ -197,4 +236,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("__ls_lines").alias("n_lines"), F.col("__ls_deleted").alias("n_deleted"))
+    return dedup_lines(docs, all_holders=True).select("doc_id", "text", F.col("__ls_lines").alias("n_lines"), F.col("__ls_deleted").alias("n_deleted"))

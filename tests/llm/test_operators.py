@@ -343,6 +343,15 @@ def test_line_dedup_finds_runs_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "other own text\n\nanother", 3: rows[2][1], 4: rows[3][1], 5: "x\ny"}
 
 
+def test_line_dedup_tries_every_earlier_holder(spark, tmp_path):
+    a, b, c = (f"shared line {k} has quite a few words in it" for k in "abc")
+    crossed = [(i, f"{a}\n{b}\n{c}\nown {i}") for i in range(1, 6)]
+    rows = [*crossed, (6, f"x\n{c}\ny"), (7, f"{c}\n{a}\n{b}"), (8, f"{c}\nz\n{a}\n{b}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[1] == rows[0][1] and [got[i] for i in range(2, 9)] == ["own 2", "own 3", "own 4", "own 5", "x\ny", "", "z"]
+
+
 # ---- op7
 
 def test_crf_marginals_against_enumeration():

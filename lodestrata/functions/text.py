@@ -22,7 +22,7 @@ ALNUM = r"[a-z0-9]+"
 ABBREVIATIONS = (
     "U.S.C", "U.S", "H.R", "D.C", "Pub. L. No", "Pub. L", "Pub", "No", "Mr", "Mrs", "Dr", "Fig", "e.g", "i.e", "etc", "vs", "al", "Vol", "pp", "ch", "sec",
 )
-GUARD = "\ue000"
+GUARD = "\uf8f0"
 JUDGE_MARK, JUDGE_FENCE = "[grade this answer]", "~~~"
 JUDGE_RULE = 'For each key point give 1 if the answer states it, else 0. Reply with {"scores": [...]} only.'
 JUDGE_TASK = r"(?s)\A\[grade this answer\]\n([^\n]*)\n[^\n]*\n(~~~[0-9a-f]{16})\n(.*)\n\2\z"

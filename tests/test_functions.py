@@ -71,19 +71,14 @@ def test_matcher():
 
 
 def plain_match(origin, compressed, window):
-    """The rule, step by step, without shortcuts."""
-    labels, cursor, last = [False] * len(origin), 0, len(origin) - 1
+    """Sorts all untaken equal places of each word by distance, those ahead first."""
+    taken, cursor = set(), 0
     for word in compressed:
-        for i in range(window if origin else 0):
-            ahead, behind = min(cursor + i, last), max(cursor - i, 0)
-            if origin[ahead] == word and not labels[ahead]:
-                labels[ahead] = True
-                cursor = cursor + window // 2 if ahead - cursor > window // 2 else ahead
-                break
-            if origin[behind] == word and not labels[behind]:
-                labels[behind], cursor = True, behind
-                break
-    return labels, sum(w in origin for w in compressed)
+        ranked = sorted((abs(i - cursor), i < cursor, i) for i, w in enumerate(origin) if w == word and i not in taken)
+        if ranked and ranked[0][0] < window:
+            taken.add(ranked[0][2])
+            cursor = min(ranked[0][2], cursor + window // 2)
+    return [i in taken for i in range(len(origin))], sum(w in origin for w in compressed)
 
 
 @settings(max_examples=300, deadline=None)

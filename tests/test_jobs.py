@@ -16,7 +16,7 @@ from lodestrata.streaming import ledger_stream
 @pytest.fixture
 def project(tmp_path):
     for p in ("alpha", "beta"):
-        lines = [{"input": f"question about {p} number {i}?", "context": f"{p} document {i} body. It mentions 1970 and {7 * i} units.", "answers": [f"answer {i} with number {3 * i}"], "length": 9, "extra": 1} for i in range(30)]
+        lines = [{"input": f"Which harbour has buoy {i}{p[0]}?", "context": f"Chart {p}-{i} of the coast. Since 1970 it has marked {7 * i} shoals.", "answers": [f"harbour {i}, chart {3 * i}"], "length": 9, "extra": 1} for i in range(30)]
         (tmp_path / f"{p}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
     (tmp_path / "subsets.toml").write_text("".join(f'[[subset]]\nname = "{p}"\nfile = "{p}.jsonl"\nlicense = "MIT"\ntrain_use = {use}\n' for p, use in (("alpha", "true"), ("beta", "false"))))
     return tmp_path

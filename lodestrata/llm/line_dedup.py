@@ -1,25 +1,35 @@
 """Line deduplication by pairwise alignment.
 
-Overlapping documents are found through shared rare lines: lines of at least
-`min_words` words, compared by a hash of the trimmed line, and from each place of
-shorter lines the shortest run of them that reaches `min_words` words together
-(verse, lists, tables), compared by a hash of its lines. A copied run that the rule
-below deletes has such a line or such a run. Each of them pairs every later document that has it with the first one (the smallest id): a line that m
-documents share gives m - 1 pairs, not all of them, and no line is too frequent to
-count. With `all_holders`, lines that are left are then tried against the other
-earlier holders, in growing groups, until none is untried. Each pair's whole line sequences are aligned with patience diff (common
-head and tail, then lines unique to both in a longest increasing run, then again
-between those), and aligned runs of consecutive lines with at least `min_words`
-words are deleted from the later document.
-
-Line hashes, not texts, are shuffled; a hot line's documents are dealt over SALTS
-tasks, and the join on a hot first document can be split by AQE. A document's partners (at most one per line it has) stream
-past its line hashes in Python.
+A line of a document is deleted if it lies in a block of consecutive lines, of at
+least `min_words` words together, that a document with a smaller id has as well.
+Lines are compared without the spaces around them; lines without a word are no
+lines here, and each goes with the line before it (leading ones with the first).
+
+1. Keys: from every line the shortest run of lines onwards, and the shortest run
+   back, that reaches `min_words` words (for a long line both are the line itself).
+   Whatever block two documents share is made of such runs, so each shared block has
+   shared keys, however short its lines. A key is 128 bits of two line hashes.
+2. Pairs: a key with at most `rare` holders makes its later holders overlap with its
+   first one (the smallest id). Every pair's whole line sequences are aligned with
+   patience diff (common head and tail, then lines unique to both in a longest
+   increasing run, then again between those), and aligned blocks are deleted from the
+   later document. Blocks that one alignment must leave out, as they come in another
+   order or more than once, are then aligned one by one, each with its first place.
+3. Frequent keys: a key that more documents hold pairs none of them. The run that it
+   stands for is what would be aligned: it is deleted from all but its first holder.
+
+No link is lost by pairing with first holders only: a pair's blocks are all deleted,
+so each key is deleted from every document but the first that has it.
+
+Line hashes, not texts, are shuffled. A key's documents are dealt over SALTS tasks. A
+document is sent to at most `rare` - 1 others for each of its lines, and what it meets
+(at most one partner a key) streams past its own lines.
 
 Defined results: a null text stays null and has no lines; documents with a null id
 are neither first nor changed; rows that repeat an id are never compared with each
-other and each cleaned; a document that is all copied becomes the empty text;
-empty tables give empty tables; other columns are passed through.
+other, and each is cleaned; so there are no ties, as ids decide what is earlier; a
+document that is all copied becomes the empty text; very long texts are aligned whole;
+empty tables give empty tables; other columns are passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +39,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import NON_SPACES, cut, quoted
 from .textarrays import mix
 
-MIN_WORDS, SALTS = 8, 16
+#: Words of a block that is deleted; holders up to which a key is rare; tasks that a key's documents are dealt over.
+MIN_WORDS, RARE, SALTS = 8, 64, 16
 
 
 def _unique(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -90,141 +101,161 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def copied(first: list[int], later: list[int], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
-    """Lines of `later` in aligned runs of at least `min_words` words."""
+def runs(words: np.ndarray, starts: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct [a, b) of the shortest runs, from each line onwards and back, of at least `min_words` words. Texts begin at `starts`; every line has a word."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    text = np.searchsorted(starts, np.arange(n), side="right") - 1
+    begin, end = starts[text], np.append(starts[1:], n)[text]
+    onward, back = np.searchsorted(total, total[:-1] + min_words), np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    place = np.arange(n)
+    some, more = onward <= end, back >= begin
+    a, b = np.concatenate([place[some], back[more]]), np.concatenate([onward[some], place[more] + 1])
+    both = np.unique(a * (n + 1) + b)
+    return both // (n + 1), both % (n + 1)
+
+
+def run_hashes(lines: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of line hashes, in step (a run has at most `min_words` lines)."""
+    out = np.full(len(a), seed, np.uint64)
+    for k in range(int((b - a).max()) if len(a) else 0):
+        live = np.flatnonzero(a + k < b)
+        out[live] = mix(out[live] * np.uint64(31) + lines[a[live] + k])
+    return out
+
+
+def blocks(aligned: list[tuple[int, int]], words: list[int], min_words: int) -> set[int]:
+    """The second places of aligned pairs in runs, consecutive on both sides, of at least `min_words` words."""
     out: set[int] = set()
     run: list[int] = []
     last = (-2, -2)
-    for i, j in [*patience(first, later), (-9, -9)]:
+    for i, j in [*aligned, (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[k] for k in run) >= min_words:
                 out.update(run)
             run = []
-        if i >= 0:
-            run.append(j)
+        run.append(j)
         last = (i, j)
     return out
 
 
-def _aligner(min_words: int):
-    """Rows sorted by (d, x, kind): the later document's lines, then those of each first document -> (d, x, deleted)."""
+def copied(first: list[int], later: list[int], words: list[int], min_words: int = MIN_WORDS) -> set[int]:
+    """Lines of `later` in blocks that `first` has: those that patience diff aligns, then those that it had to leave out."""
+    gone = blocks(patience(first, later), words, min_words)
+    known = set(first)
+    if all(j in gone or line not in known for j, line in enumerate(later)):
+        return gone
+    a, b = runs(np.array(words), np.zeros(1, int), min_words)
+    left = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if not gone.issuperset(range(i, j)) and known.issuperset(later[i:j])]
+    for size in {j - i for i, j in left}:
+        held = {tuple(first[i : i + size]) for i in range(len(first) - size + 1)}
+        for i, j in left:
+            if j - i == size and tuple(later[i:j]) in held:
+                gone.update(range(i, j))
+    return gone
+
+
+def _with_blanks(gone: set[int], solid: np.ndarray, n_lines: int) -> list[int]:
+    """Places among all lines of deleted lines with words, and of the lines without words that go with them."""
+    owner = np.maximum(np.searchsorted(solid, np.arange(n_lines), side="right") - 1, 0)
+    return np.flatnonzero(np.isin(owner, list(gone))).tolist()
+
+
+def _keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, k, l): the keys of each document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lines, words, gone, out = None, [], [], set(), []
+        for batch in batches:
+            h, g, w = (batch.column(k) for k in (1, 2, 3))
+            words = w.flatten().to_numpy(zero_copy_only=False)
+            solid = words > 0
+            row = np.repeat(np.arange(batch.num_rows), w.value_lengths().to_numpy(zero_copy_only=False))[solid]
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            a, b = runs(words[solid], starts, min_words) if len(row) else (row, row)
+            k, l = (run_hashes(x.flatten().to_numpy(zero_copy_only=False).view(np.uint64)[solid], a, b, seed).view(np.int64) for x, seed in ((h, 1), (g, 2)))
+            order = np.lexsort((l, k, row[a]))
+            ids = row[a][order]
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(ids) != 0) | (np.diff(k[order]) != 0) | (np.diff(l[order]) != 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids[new])), pa.array(k[order][new]), pa.array(l[order][new])], names=["d", "k", "l"])
+
+    kind = docs.schema["d"].dataType.simpleString()
+    return docs.select("d", "h", "g", "w").mapInArrow(run, f"d {kind}, k long, l long")
+
 
-        def result(rows):
-            cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["d", "x", "deleted"])
+OWN, PARTNER, FREQUENT = 0, 1, 2
+
+
+def _aligner(kind: pa.DataType, min_words: int):
+    """Rows sorted by (d, x, kind): the document's lines, each partner's lines, frequent keys to delete -> (d, x, deleted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out = None, []
+        gone: set[int] = set()
+        lines, words, solid, n_lines = [], [], np.empty(0, int), 0
+
+        def result() -> pa.RecordBatch:
+            d, x, deleted = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(d, kind), pa.array(x, pa.int64()), pa.array(deleted, pa.list_(pa.int32()))], names=["d", "x", "deleted"])
 
         for batch in batches:
-            d, x, kind, h, w = (batch.column(k) for k in range(5))
-            for r in range(batch.num_rows):
-                now = (d[r].as_py(), x[r].as_py())
+            d, x, which = (batch.column(k).to_pylist() for k in range(3))
+            for r, now in enumerate(zip(d, x)):
                 if now != key:
                     if gone:
-                        out.append((*key, sorted(gone)))
-                    key, lines, words, gone = now, [], [], set()
-                if kind[r].as_py() == 0:
-                    lines, words = h[r].as_py(), w[r].as_py()
+                        out.append((*key, _with_blanks(gone, solid, n_lines)))
+                    key, gone = now, set()
+                h = batch.column(3)[r].values.to_numpy(zero_copy_only=False)
+                if which[r] == OWN:
+                    w = batch.column(4)[r].values.to_numpy(zero_copy_only=False)
+                    solid, n_lines = np.flatnonzero(w > 0), len(w)
+                    lines, words = h[solid].tolist(), w[solid].tolist()
+                elif which[r] == PARTNER:
+                    gone |= copied(h.tolist(), lines, words, min_words)
                 else:
-                    gone |= copied(h[r].as_py(), lines, words, min_words)
+                    a, b = runs(np.array(words), np.zeros(1, int), min_words)
+                    hit = np.isin(run_hashes(np.array(lines, np.int64).view(np.uint64), a, b, 1).view(np.int64), h)
+                    for i, j in zip(a[hit].tolist(), b[hit].tolist()):
+                        gone.update(range(i, j))
             if out:
-                yield result(out)
+                yield result()
                 out = []
         if gone:
-            yield result([(*key, sorted(gone))])
+            out.append((*key, _with_blanks(gone, solid, n_lines)))
+            yield result()
 
     return run
 
 
-def _runs(h: Column, w: Column, min_words: int) -> Column:
-    """Hashes of the distinct shortest runs of lines of under `min_words` words each, one from each place, that reach `min_words` words together."""
-
-    @F.pandas_udf("array<long>")
-    def run(hashes: pd.Series, words: pd.Series) -> pd.Series:
-        out = []
-        for lines, n in zip(hashes, words):
-            lines, n, keys = lines.view(np.uint64), np.asarray(n, np.int64), np.empty(0, np.uint64)
-            if min_words > 1 and (n < min_words).sum() > 1:
-                ends = np.concatenate([[0], np.cumsum(n)])
-                end = np.searchsorted(ends, ends[:-1] + min_words)  # the run from i is lines i to end[i] - 1
-                long = np.concatenate([[0], np.cumsum(n >= min_words)])
-                at = np.flatnonzero((end < len(ends)) & (long[np.minimum(end, len(n))] == long[:-1]))
-                key, place = np.full(len(at), 1, np.uint64), at.copy()
-                while len(live := np.flatnonzero(place < end[at])):
-                    key[live] = mix(key[live] * np.uint64(31) + lines[place[live]])
-                    place[live] += 1
-                keys = np.unique(key)
-            out.append(keys.view(np.int64))
-        return pd.Series(out)
-
-    return run(h, w)
-
-
-def _aligned(docs: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """Pairs (f, d) of ids -> (d, x, deleted): the lines of d that are copied from any of its f."""
-    partners = pairs.join(docs.select(F.col("d").alias("f"), F.col("h").alias("fh")), "f").select("d", F.col("fh").alias("h"))
-    later = docs.join(pairs.select("d").distinct(), "d", "left_semi").select("d", "x", F.lit(0).alias("k"), "h", "w")
-    streams = later.select("d", "x").distinct()
-    theirs = partners.join(streams, "d").select("d", "x", F.lit(1).alias("k"), "h", F.lit(None).cast("array<int>").alias("w"))
-    rows = later.unionByName(theirs).repartition("d", "x").sortWithinPartitions("d", "x", "k")
-    return rows.mapInArrow(_aligner(min_words), "d long, x long, deleted array<int>")
-
-
-def _keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, l): hashes of the long lines and of the runs of short lines of each document."""
-    rare = F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] >= min_words), lambda z: z["h"]))
-    return docs.select("d", F.explode(F.array_distinct(F.concat(rare, _runs(F.col("h"), F.col("w"), min_words)))).alias("l"))
-
-
-def _left(docs: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
-    """(d, l): the keys of lines that are not deleted. A deleted line ends a run of short lines, as a long line does; its own key is dropped."""
-    joined = docs.join(gone, ["d", "x"], "left").withColumn("g", F.coalesce("deleted", F.array().cast("array<int>")))
-    deleted = lambda i: F.array_contains(F.col("g"), i)
-    lines = F.filter(F.arrays_zip("h", "w"), lambda z, i: ~deleted(i) & (z["w"] >= min_words))
-    words = F.transform("w", lambda v, i: F.when(deleted(i), F.lit(min_words)).otherwise(v))
-    keyed = joined.select("d", F.transform(lines, lambda z: z["h"]).alias("own"), "h", words.alias("w"))
-    return keyed.select("d", F.explode(F.array_distinct(F.concat("own", _runs(F.col("h"), F.col("w"), min_words)))).alias("l")).distinct()
-
-
-def _later_holders(docs: DataFrame, has: DataFrame, gone: DataFrame, min_words: int) -> DataFrame:
-    """`gone`, with what other earlier holders of a line show to be copied. Keys that are left are tried against the 2nd and 3rd holder, then the next 4, 8, ..."""
-    holders, low, high = None, 2, 3
-    while True:
-        left = _left(docs, gone, min_words)
-        if holders is None:
-            shared = has.join(left.select("l").distinct(), "l", "left_semi").distinct()
-            holders = cut(shared.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("d"))))
-        todo = cut(left.join(holders, ["l", "d"]).filter(F.col("r") > low))
-        if todo.isEmpty():
-            return gone
-        tried = holders.filter(F.col("r").between(low, high)).select("l", F.col("d").alias("f"), F.col("r").alias("rf"))
-        pairs = todo.join(tried, "l").filter("rf < r").select("f", "d").distinct()
-        both = gone.unionByName(_aligned(docs, pairs, min_words))
-        gone = cut(both.groupBy("d", "x").agg(F.array_distinct(F.flatten(F.collect_list("deleted"))).alias("deleted")))
-        low, high = high + 1, 2 * high + 1
-
-
-def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_holders: bool = False) -> DataFrame:
-    """(d, x, deleted): id, hash of the text and places (from 0) of the lines to delete, for documents that lose any. Ids are integers."""
-    line = lambda s: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.regexp_count(s, F.lit(NON_SPACES)).alias("w"))
+def copied_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """(d, x, deleted): id, hash of the text and places (from 0) of the lines to delete, for documents that lose any."""
+    line = lambda s: F.struct(F.xxhash64(F.trim(s)).alias("h"), F.xxhash64(F.lit(1), F.trim(s)).alias("g"), F.regexp_count(s, F.lit(NON_SPACES)).alias("w"))
     docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("x"), F.transform(F.split(text_col, "\n"), line).alias("s")
+        F.col(id_col).alias("d"), F.xxhash64(text_col).alias("x"), F.transform(F.split(text_col, "\n"), line).alias("s")
     )
-    docs = cut(docs.select("d", "x", F.col("s.h").alias("h"), F.col("s.w").alias("w")))
+    docs = cut(docs.select("d", "x", *[F.col(f"s.{c}").alias(c) for c in "hgw"]))
     has = _keys(docs, min_words)
-    firsts = has.groupBy("l").agg(F.min("d").alias("f"), F.max("d").alias("m")).filter("m > f").select("l", "f")
-    salted = firsts.select("l", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    pairs = has.withColumn("s", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["l", "s"]).filter("d > f").select("f", "d").distinct()
-    gone = _aligned(docs, pairs, min_words)
-    return _later_holders(docs, has, cut(gone), min_words) if all_holders else gone
-
-
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, all_holders: bool = False) -> DataFrame:
+    firsts = has.groupBy("k", "l").agg(F.min("d").alias("f"), F.max("d").alias("m"), F.count(F.lit(1)).alias("n")).filter("m > f")
+    salted = firsts.select("k", "l", "f", (F.col("n") <= rare).alias("rare"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    met = cut(has.withColumn("s", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")).join(salted, ["k", "l", "s"]).filter("d > f").select("d", "f", "k", "rare"))
+    pairs = met.filter("rare").select("f", "d").distinct()
+    shared = docs.select(F.col("d").alias("f"), F.transform(F.filter(F.arrays_zip("h", "w"), lambda z: z["w"] > 0), lambda z: z["h"]).alias("h"))
+    theirs = pairs.join(shared, "f").select("d", F.lit(PARTNER).alias("kind"), "h")
+    frequent = met.filter("NOT rare").groupBy("d").agg(F.collect_set("k").alias("h")).select("d", F.lit(FREQUENT).alias("kind"), "h")
+    later = docs.join(met.select("d").distinct(), "d", "left_semi")
+    # a row for each text of an id; a text's partners follow it
+    meets = theirs.unionByName(frequent).join(later.select("d", "x").distinct(), "d").select("d", "x", "kind", "h", F.lit(None).cast("array<int>").alias("w"))
+    rows = later.select("d", "x", F.lit(OWN).alias("kind"), "h", "w").unionByName(meets).repartition("d", "x").sortWithinPartitions("d", "x", "kind")
+    kind = df.schema[id_col].dataType
+    return rows.mapInArrow(_aligner(to_arrow_type(kind), min_words), f"d {kind.simpleString()}, x long, deleted array<int>")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """`df` with the text cleaned, and __ls_lines and __ls_deleted (numbers of lines)."""
-    gone = copied_lines(df, id_col, text_col, min_words, all_holders).toDF("__ls_d", "__ls_gx", "__ls_gone")
+    # a text that several rows repeat under one id is cleaned once
+    gone = copied_lines(df, id_col, text_col, min_words, rare).toDF("__ls_d", "__ls_gx", "__ls_gone").dropDuplicates(["__ls_d", "__ls_gx"])
     tagged = df.withColumn("__ls_x", F.xxhash64(text_col))
-    joined = tagged.join(gone, (F.col(id_col).cast("long") == F.col("__ls_d")) & (F.col("__ls_x") == F.col("__ls_gx")), "left")
+    joined = tagged.join(gone, (F.col(id_col) == F.col("__ls_d")) & (F.col("__ls_x") == F.col("__ls_gx")), "left")
     left = F.filter(F.split(text_col, "\n"), lambda s, i: ~F.array_contains("__ls_gone", i))
     text = F.when(F.col("__ls_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     return joined.select(
@@ -236,4 +267,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, all_holders=True).select("doc_id", "text", F.col("__ls_lines").alias("n_lines"), F.col("__ls_deleted").alias("n_deleted"))
+    return dedup_lines(docs).select("doc_id", "text", F.col("__ls_lines").alias("n_lines"), F.col("__ls_deleted").alias("n_deleted"))

@@ -262,73 +262,61 @@ def test_ftrl_is_sparse_and_separates():
 # ---- op6
 
 def brute_line_dedup(rows, min_words=line_dedup.MIN_WORDS):
-    """Star pairs by rare lines and a recursive patience diff, document by document."""
-    first = {}
-    norm = lambda s: s.strip(" ")
-    seq = {i: t.split("\n") for i, t in rows}
-    for i in sorted(seq):
-        for s in seq[i]:
-            if len(s.split()) >= min_words:
-                first.setdefault(norm(s), i)
-
-    def align(a, b):
-        if not a or not b:
-            return []
-        if a[0][1] == b[0][1]:
-            return [(a[0][0], b[0][0]), *align(a[1:], b[1:])]
-        if a[-1][1] == b[-1][1]:
-            return [*align(a[:-1], b[:-1]), (a[-1][0], b[-1][0])]
-        ca, cb = Counter(x for _, x in a), Counter(x for _, x in b)
-        common = [(p, next(q for q, (_, y) in enumerate(b) if y == x)) for p, (_, x) in enumerate(a) if ca[x] == 1 and cb[x] == 1]
-        best = []
-        for n in range(len(common), 0, -1):
-            runs = [c for c in itertools.combinations(common, n) if all(x[1] < y[1] for x, y in zip(c, c[1:]))]
-            best = min(runs, key=lambda c: [j for _, j in reversed(c)], default=[])  # of equally long runs, the one that ends earliest
-            if best:
-                break
-        if not best:
-            return []
-        out = []
-        for (i, j), (k, m) in zip([(-1, -1), *best], [*best, (len(a), len(b))]):
-            out += align(a[i + 1 : k], b[j + 1 : m])
-            if k < len(a):
-                out.append((a[k][0], b[m][0]))
-        return out
-
+    """Every document against every earlier one: all diagonals of equal lines with enough words are deleted from the later one."""
+    seq = {}
+    for d, t in rows:
+        lines = t.split("\n")
+        solid = [j for j, s in enumerate(lines) if s.split()]
+        seq[d] = (lines, solid, [lines[j].strip(" ") for j in solid], [len(lines[j].split()) for j in solid])
     result = {}
-    for d in seq:
+    for d, (lines, solid, own, words) in seq.items():
         gone = set()
-        for f in {first[norm(s)] for s in seq[d] if len(s.split()) >= min_words} - {d}:
-            pairs = sorted(align([*enumerate(map(norm, seq[f]))], [*enumerate(map(norm, seq[d]))]))
-            runs = []
-            for p in pairs:
-                if runs and (runs[-1][-1][0] + 1, runs[-1][-1][1] + 1) == p:
-                    runs[-1].append(p)
-                else:
-                    runs.append([p])
-            for run in runs:
-                if sum(len(seq[d][j].split()) for _, j in run) >= min_words:
-                    gone |= {j for _, j in run}
-        result[d] = "\n".join(s for j, s in enumerate(seq[d]) if j not in gone)
+        for f in (f for f in seq if f < d):
+            theirs = seq[f][2]
+            for shift in range(-len(theirs) + 1, len(own)):
+                run = []
+                for j in range(len(own) + 1):
+                    if j < len(own) and 0 <= j - shift < len(theirs) and own[j] == theirs[j - shift]:
+                        run.append(j)
+                        continue
+                    if sum(words[k] for k in run) >= min_words:
+                        gone |= set(run)
+                    run = []
+        owner = lambda j: max([k for k, p in enumerate(solid) if p <= j], default=0)
+        result[d] = "\n".join(s for j, s in enumerate(lines) if owner(j) not in gone)
     return result
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("rare,ids", [(64, int), (2, str), (1, int)])
+def test_line_dedup_against_brute_force(spark, rare, ids):
     rng = np.random.default_rng(5)
-    shared = [f"shared line number {k} has quite a few words in it" for k in range(9)] + ["short", "", "of the"]
+    shared = [f"shared line number {k} has quite a few words in it" for k in range(9)] + ["short", "", "of the", "three words here", "four of them here", " "]
     rows = []
-    for i in range(24):
+    for i in range(40):
         own = [f"own line {i} {k} with enough words to be counted as rare" for k in range(3)]
-        picks = [shared[int(k)] for k in rng.integers(0, len(shared), int(rng.integers(0, 7)))]
-        order = rng.permutation(len(own) + len(picks))
-        rows.append((i + 1, "\n".join([*own, *picks][int(k)] for k in order)))
-    rows += [(100, rows[0][1]), (101, rows[0][1] + "\n" + shared[0])]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("deleted", F.lit("clash")).withColumn("d", F.lit("clash")).withColumn("a.b", F.lit(1)).repartition(3)
-    got = line_dedup.dedup_lines(d)
+        picks = [shared[int(k)] for k in rng.integers(0, len(shared), int(rng.integers(0, 12)))]
+        order = rng.permutation(len(own) + len(picks)) if i % 2 else np.arange(len(own) + len(picks))
+        rows.append((i + 10, "\n".join([*own, *picks][int(k)] for k in order)))
+    verse = [f"verse {k % 3}" for k in range(12)]
+    rows += [(100, rows[0][1]), (101, rows[0][1] + "\n" + shared[0]), (102, "\n".join(verse)), (103, "\n".join(["x", *verse[1:], "y"])), (104, "\n\n" + "\n".join(reversed(rows[1][1].split("\n"))))]
+    rows = [(ids(d), t) for d, t in rows]
+    kind = "long" if ids is int else "string"
+    d = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumn("deleted", F.lit("clash")).withColumn("d", F.lit("clash")).withColumn("a.b", F.lit(1)).repartition(3)
+    got = line_dedup.dedup_lines(d, rare=rare)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute_line_dedup(rows)
     assert got.columns[:5] == ["doc_id", "text", "deleted", "d", "a.b"]
 
 
+def test_line_dedup_deletes_what_only_later_pairs_share(spark):
+    long, other = "this line has rather more than eight words in it", "and this one has even more words than the first"
+    rows = [(1, long), (2, f"{long}\nshort tail"), (3, f"own words\n{long}\nshort tail"), (11, f"{long}\nx\n{other}"), (12, f"{other}\ny\n{long}"), (13, f"{other}\nz\n{long}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: long, 2: "short tail", 3: "own words", 11: f"x\n{other}", 12: "y", 13: "z"} == brute_line_dedup(rows)
+    fives = "\n".join(f"five short words {k} here" for k in range(20))
+    rows = [(1, f"a\n{fives}"), (2, f"b\n{fives}\nc")]
+    assert {r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {rows[0][1], "b\nc"}
+
+
 def test_line_dedup_edges(docs, empty):
     got = line_dedup.dedup_lines(docs).collect()
     assert len(got) == len(DOCS) and line_dedup.dedup_lines(empty).count() == 0

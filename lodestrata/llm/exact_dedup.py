@@ -13,8 +13,9 @@ more than one text has (none, with SHA-256) the text takes part in that join.
 
 Defined results: a null text counts as empty; a null id never wins over a
 non-null one; of rows that repeat both id and text exactly one is kept; an empty
-table gives an empty table; other columns are ignored (`duplicate_groups`) or
-passed through (`exact_dedup`), whatever their names.
+table gives an empty table; very long texts are compared whole, like others; there are
+no ties but rows that repeat an id; other columns are ignored (`duplicate_groups`)
+or passed through (`exact_dedup`), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, id_key, quoted
+from .common import SPACES, cut, id_key, text_key, without
 
 SALTS = 64
 
@@ -39,7 +40,7 @@ def sha256_digest(text: Column) -> Column:
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
     return (
-        df.select(F.col(id_col).alias("_id"), normalise(F.col(text_col)).alias("_t"))
+        df.select(F.col(id_col).alias("_id"), normalise(F.col(text_col)).alias("_t"), text_key(text_col).alias("_x"))
         .withColumn("_d", digest(F.col("_t")))
         .withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
     )
@@ -58,6 +59,19 @@ def _salt_groups(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _rows(df: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """(_id, _x, _d, _keep, _size) and, unless the digest is SHA-256, _t of each row. Runs one job (the grouping)."""
+    keyed = _keyed(df, id_col, text_col, salts, digest)
+    groups = cut(_salt_groups(keyed))
+    clashes = groups.filter("_clash")
+    if clashes.isEmpty():
+        narrow = keyed.drop("_t") if digest is sha256_digest else keyed
+        return narrow.join(groups.drop("_clash", "_ct"), ["_d", "_s"])
+    theirs = groups.withColumnsRenamed({"_d": "_gd", "_s": "_gs"})
+    same = "_d = _gd AND _s = _gs AND (NOT _clash OR _t = _ct)"
+    return keyed.join(theirs, F.expr(same)).select("_id", "_x", "_d", "_s", "_t", "_keep", "_size")
+
+
 def duplicate_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -65,20 +79,10 @@ def duplicate_groups(
     salts: int = SALTS,
     digest: Callable[[Column], Column] = sha256_digest,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256. Runs one job (the grouping)."""
-    keyed = _keyed(df, id_col, text_col, salts, digest)
-    groups = cut(_salt_groups(keyed))
-    clashes = groups.filter("_clash")
-    narrow = keyed.select("_id", "_d", "_s") if digest is sha256_digest else keyed.select("_id", "_d", "_s", "_t")
-    if clashes.isEmpty():
-        found = narrow.join(groups.drop("_clash", "_ct"), ["_d", "_s"])
-    else:
-        theirs = groups.withColumnsRenamed({"_d": "_gd", "_s": "_gs"})
-        same = "_d = _gd AND _s = _gs AND (NOT _clash OR _t = _ct)"
-        found = keyed.join(theirs, F.expr(same)).select("_id", "_d", "_s", "_t", "_keep", "_size")
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     sha = F.lower(F.hex("_d")) if digest is sha256_digest else F.sha2("_t", 256)
     twin = Window.partitionBy("_d", "_s", "_id", "_keep").orderBy("_id")
-    return found.withColumn("_rn", F.row_number().over(twin)).select(
+    return _rows(df, id_col, text_col, salts, digest).withColumn("_rn", F.row_number().over(twin)).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
@@ -88,12 +92,20 @@ def duplicate_groups(
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all columns of `df` unchanged."""
-    groups = _salt_groups(_keyed(df, id_col, text_col, salts, sha256_digest))
-    winners = groups.select(F.col("_d").alias("__ls_wd"), id_key(F.col("_keep")).alias("__ls_wk")).distinct()
-    tagged = df.withColumns({"__ls_d": sha256_digest(normalise(F.col(text_col))), "__ls_k": id_key(F.col(id_col))})
-    kept = tagged.join(winners, F.expr("__ls_d = __ls_wd AND __ls_k = __ls_wk"), "left_semi")
-    return kept.dropDuplicates(["__ls_d", "__ls_k"]).select(*quoted(df.columns))
+    """The rows that stay, with all columns of `df` unchanged.
+
+    What goes is found by (id, hash of the text). Texts are not shuffled once more while
+    that list, which is counted, can be broadcast; a longer one meets them in a join.
+    Rows that keep_id shares with other raw texts of the same group: the text with the smallest hash stays.
+    """
+    rows = _rows(df, id_col, text_col, salts, sha256_digest).filter("_size > 1")
+    own = F.col("_id").eqNullSafe(F.col("_keep"))
+    # rows of one id may hold different texts that are equal after normalisation: of these, one stays
+    least = rows.filter(own).groupBy("_d").agg(F.min("_x").alias("_least")).withColumnRenamed("_d", "_wd")
+    keys = rows.groupBy(id_key(F.col("_id")).alias("__ls_k"), F.col("_x").alias("__ls_x"), "_d").agg(F.max(~own).alias("lost"), F.count(F.lit(1)).alias("rows"))
+    other = keys.filter("NOT lost").join(least, F.col("_d") == F.col("_wd")).select("__ls_k", "__ls_x", (F.col("__ls_x") != F.col("_least")).alias("lost"), "rows")
+    marked = cut(keys.filter("lost").select("__ls_k", "__ls_x", "lost", "rows").unionByName(other))
+    return without(df, marked, id_key(F.col(id_col)), text_key(text_col))
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

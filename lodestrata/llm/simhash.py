@@ -36,28 +36,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..partitions import spread
-from .common import cut, id_key, quoted
+from .common import cut, id_key, maybe_broadcast, quoted, text_key
 
 RADIUS, SHINGLE, SEED, MAX_BUCKET, SMALL = 3, 3, 42, 1_000_000, 1024
+#: Rows of one fingerprint beyond which its component is broadcast to them (n rows have at most n / HOT such fingerprints).
+HOT = 10_000
 
 
 # ---- fingerprints
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of `shingle` words of a UTF-8 text, repeats included; of all its words if they are fewer."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    if shingle == 3:
+        hashes = [digest(b" ".join(words), SEED)]
+    elif shingle == 3:
         hashes = [digest(a + b" " + b + b" " + c, SEED) for a, b, c in zip(words, words[1:], words[2:])]
+    elif shingle == 5:
+        hashes = [digest(b"%b %b %b %b %b" % run, SEED) for run in zip(words, words[1:], words[2:], words[3:], words[4:])]
     else:
         hashes = [digest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1)]
-    return majority(np.array(hashes, dtype=np.uint64))
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def majority(hashes: np.ndarray, step: int = 255 * 256) -> int:
@@ -73,10 +82,6 @@ def majority(hashes: np.ndarray, step: int = 255 * 256) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _text_key(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(_id, _x, _fp): _x is a hash of the text, _fp the fingerprint as a signed long."""
 
@@ -86,7 +91,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["_id", "_x", "_fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("_id"), _text_key(text_col).alias("_x"), F.col(text_col).cast("binary").alias("_t"))
+    rows = df.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_x"), F.col(text_col).cast("binary").alias("_t"))
     return rows.mapInArrow(run, f"_id {kind}, _x long, _fp long")
 
 
@@ -236,12 +241,17 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id, component_fp (the component's smallest fingerprint), text_xxhash64."""
     prints = cut(fingerprints(df, id_col, text_col, shingle))
-    classes = prints.groupBy("_fp").agg(F.min("_id").alias("_first"))
+    classes = prints.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     roots = connected_components(links(classes.select("_fp"), radius, max_bucket))
-    rooted = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
+    rooted = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_first", "_rows", F.coalesce("root", "_fp").alias("_root"))
     firsts = rooted.groupBy("_root").agg(F.min("_first").alias("_component"))
-    by_fp = rooted.join(firsts, "_root").select("_fp", "_root", "_component")
-    return prints.join(by_fp, "_fp").select(
+    by_fp = rooted.join(firsts, "_root").select("_fp", "_root", "_component", "_rows")
+    # a fingerprint of very many rows (empty texts, say) is sent to its rows, not they to it
+    by_fp = cut(by_fp)
+    hot = by_fp.filter(F.col("_rows") > HOT)
+    hot = maybe_broadcast(hot, hot.count())
+    joined = prints.join(hot, "_fp").unionByName(prints.join(hot, "_fp", "left_anti").join(by_fp.filter(F.col("_rows") <= HOT), "_fp"))
+    return joined.select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.col("_component").alias("component_id"),
@@ -255,7 +265,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     marks = near_duplicates(df, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
     stay = marks.groupBy("component_id", "component_fp").agg(F.min("text_xxhash64").alias("__ls_x"))
     stay = stay.select(id_key(F.col("component_id")).alias("__ls_i"), "__ls_x").distinct()
-    tagged = df.withColumns({"__ls_h": _text_key(text_col), "__ls_k": id_key(F.col(id_col))})
+    tagged = df.withColumns({"__ls_h": text_key(text_col), "__ls_k": id_key(F.col(id_col))})
     kept = tagged.join(stay, F.expr("__ls_k = __ls_i AND __ls_h = __ls_x"), "left_semi")
     return kept.dropDuplicates(["__ls_k", "__ls_h"]).select(*quoted(df.columns))
 

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, mixing, quality_crf, simhash, textarrays, url_filter
+from lodestrata.llm import decontaminate, exact_dedup, html_extract, langid, line_dedup, lm_score, mixing, quality_crf, simhash, simhash_parts, textarrays, url_filter
 from lodestrata.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,17 @@ def test_exact_dedup_repeats_and_null_ids(docs):
     assert filtered.columns == docs.columns and filtered.count() == len(kept)
 
 
+def test_exact_dedup_of_repeated_ids(spark, monkeypatch):
+    rows = [(1, "a  b", 1), (1, "a b", 2), (1, "a b", 3), (2, "a\tb", 4), (3, "c", 5), (3, "c", 6), (None, "d", 7), (None, " d", 8), (None, "d", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lost long").repartition(3)
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr("lodestrata.llm.common.BROADCAST_ROWS", bound)
+        left = exact_dedup.exact_dedup(d)
+        got = Counter((r["doc_id"], " ".join(r["text"].split(" "))) for r in left.collect())
+        assert left.columns == d.columns and sum(got.values()) == 4 and {(k[0], "".join(k[1].split())) for k in got} == {(1, "ab"), (3, "c"), (None, "d")}
+        assert sum(r["text"].startswith(" ") for r in left.collect()) == 1
+
+
 def test_exact_dedup_survives_digest_collisions(docs):
     weak = exact_dedup.duplicate_groups(docs, digest=lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 0)), salts=3)  # every digest is equal
     key = lambda rows: sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in rows)
@@ -483,6 +494,84 @@ def test_components_of_a_chain(spark):
     assert got == want
 
 
+def brute_similar(rows, shingle=5, similarity=0.8):
+    """Sizes of pairs and the component (smallest row) of each text, by comparing all pairs of shingle sets."""
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+    sets, component = [shingles(t) for t in rows], list(range(len(rows)))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        low, high = sorted((component[i], component[j]))
+        component = [low if c == high else c for c in component]
+    return pairs, component
+
+
+def similar_texts(seed=6):
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{int(rng.integers(0, 5000))}"
+    passage, out = [word() for _ in range(60)], []
+    for size in (3, 6, 9, 15, 30, 60, 150, 400, 1200):
+        for _ in range(6):
+            base = [word() for _ in range(size)] + (passage if size == 400 else [])
+            out.append(" ".join(base))
+            for edits in (1, size // 200 + 1, size // 120 + 1, size // 90, size // 60, size // 40):
+                w = list(base)
+                for k in rng.integers(0, len(w), edits):
+                    w[int(k)] = word()
+                out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_similar_documents_against_brute_force(spark, docs, empty, monkeypatch, block):
+    texts = [*similar_texts(), *[r[1] for r in DOCS]]
+    pairs, component = brute_similar(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("keys", F.lit("clash")).withColumn("a.b", F.lit(1)).repartition(3)
+    sketches = simhash_parts._sketches(d, "doc_id", "text", 5, 0.8)
+    monkeypatch.setattr(simhash_parts, "BLOCK", block)
+    monkeypatch.setattr(simhash_parts.candidate_pairs, "__defaults__", (block,))
+    left = simhash_parts.near_dedup(d)
+    assert left.columns == d.columns
+    kept = {r["doc_id"] for r in left.collect()}
+    lost = set(component) - kept
+    assert not lost and len(kept - set(component)) <= 0.02 * len(texts)
+    number = {r["n"]: r["id"] for r in sketches.collect()}
+    linked = simhash.connected_components(simhash_parts.similar_pairs(d, sketches, "doc_id", "text", 5, 0.8)).collect()
+    root = {number[r["node"]]: number[r["root"]] for r in linked}
+    found = sum(i in root and root[i] == root.get(j) for i, j in pairs)
+    assert len(pairs) > 150 and found >= 0.98 * len(pairs)
+    assert all(component[i] == component[r] for i, r in root.items())
+    assert simhash_parts.near_dedup(docs).columns == docs.columns and simhash_parts.near_dedup(empty).count() == 0
+    ids = sorted(str(r["doc_id"]) for r in simhash_parts.near_dedup(docs).collect())
+    by_text = brute_similar([r[1] for r in DOCS])[1]
+    assert len(ids) == len(set(by_text)) and "None" not in ids
+
+
+def test_parts_cover_small_sets():
+    """Sets that differ in no more than the similarity allows share a key if all their parts are kept."""
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(rng.integers(1, 38))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.append(a[rng.permutation(n)[: n - int(rng.integers(0, n // 9 + 1))]], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert np.intersect1d(simhash_parts.part_keys(np.unique(a)), simhash_parts.part_keys(np.unique(b))).size
+
+
+def test_spanning_tree_is_minimal():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 62, 40).astype(np.uint64) & np.uint64(0xFFF)
+    child, parent, far = simhash_parts.spanning_tree(fps)
+    edges, component, total = sorted((int(np.bitwise_count(fps[i] ^ fps[j])), i, j) for i, j in itertools.combinations(range(40), 2)), list(range(40)), 0
+    for d, i, j in edges:
+        if component[i] != component[j]:
+            total, a, b = total + d, component[i], component[j]
+            component = [a if c == b else c for c in component]
+    assert int(far.sum()) == total and set(child) == set(range(1, 40)) and all(int(np.bitwise_count(fps[c] ^ fps[p])) == d for c, p, d in zip(child, parent, far))
+
+
 # ---- op10
 
 PAGE = """<!DOCTYPE html><html><head><title>Title x</title><style>p{}</style><script>var t="</p><article>";</script></head><body>

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import langid, mixing
 
-from .test_operators import DOCS, SCHEMA, brute_contamination, brute_simhash
+from .test_operators import DOCS, SCHEMA, brute_contamination, brute_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,8 +23,8 @@ def brute(rows, model, items):
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]), r)
     rows = list(first.values())
-    kept = {c for *_, c in brute_simhash([(r["doc_id"], r["text"]) for r in rows])}
-    rows = [r for r in rows if r["doc_id"] in kept]
+    component = brute_similar([r["text"] for r in rows])[1]
+    rows = [r for i, r in enumerate(rows) if component[i] == i]
     bad = {i for i, *_, hit in brute_contamination([(r["doc_id"], r["text"]) for r in rows], items) if hit}
     rows = [r for r in rows if r["doc_id"] not in bad]
     con = duckdb.connect()

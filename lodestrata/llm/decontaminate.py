@@ -6,37 +6,45 @@ words is one window. A document word inside any occurrence of a window is hit.
 
 1. Fingerprints: of every `window - k + 1` consecutive k-gram hashes the minimum
    is kept, on both sides. A shared span of `window` words holds the same
-   k-grams, so it keeps the same minimum: no such span can be missed.
+   k-grams, so it keeps the same minimum: no such span can be missed. Items of fewer
+   words take every gram of their length (winnowing with windows of one).
 2. Join: the documents' fingerprints meet the benchmark's. That side is broadcast
    if it has been counted and is small; beyond the bound both sides shuffle as
-   (document, fingerprint), the benchmark side replicated over salts.
+   (document, fingerprint), the benchmark side replicated over salts, and what is
+   found returns to its documents.
 3. Extension: around each hit the windows that hold its k-gram are compared with
-   the benchmark's windows as text, so hash collisions cannot count.
-
-Items of fewer than `window` words take every gram of their length (winnowing
-with windows of one). One pass reads the documents; texts are not shuffled.
-
-Defined results: null and empty texts have no words; benchmark rows without words
-have no window; rows that repeat an item_id act as one item; a null item_id marks
-words but is not listed; rows that repeat a document are each returned; an empty
-benchmark hits nothing; other columns are ignored or passed through.
+   the benchmark's windows as text, so hash collisions cannot count. That side too is
+   broadcast if it is small, else replicated over salts.
+
+One pass reads the documents for all lengths of items; what it finds is written to
+the checkpoint folder. Texts are shuffled only past the first bound, and there only if
+the documents found are too many to be broadcast.
+
+Defined results: null and empty texts have no words; very long texts are searched
+whole; benchmark rows without words have no window; rows that repeat an item_id act as
+one item; a null item_id marks words but is not listed; rows that repeat a document
+are each returned; there are no ties, as every hit counts; an empty benchmark hits
+nothing; an empty table gives an empty table; other columns are ignored or passed through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..partitions import spread
-from .common import BROADCAST_ROWS, LOWER, UPPER, steps
+from .common import BROADCAST_ROWS, LOWER, UPPER, cut, id_key, maybe_broadcast, steps, text_key, without
 
 WINDOW, GRAM, SALTS = 10, 5, 16
-#: ASCII letters and digits and everything beyond ASCII, before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words: ASCII but letters and digits. (Splitting is some 15 times faster than regexp_extract_all.)
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def _phrase(words: Column, start: Column, length: int) -> Column:
@@ -44,18 +52,18 @@ def _phrase(words: Column, start: Column, length: int) -> Column:
     return F.translate(F.array_join(F.slice(words, start + 1, F.lit(length)), " "), UPPER, LOWER)
 
 
-def _grams(df: DataFrame, k: int) -> DataFrame:
-    """Adds _g: the hash of each k words. Full lower-casing only makes more words equal here; _phrase decides."""
-    df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(F.lower(w))))
-    gram = lambda i: F.xxhash64(*[F.get("_h", i + j) for j in range(k)])
-    return df.withColumn("_g", F.transform(steps(0, F.size("_h") - k), gram)).drop("_h")
+def _from(array: str, place: int) -> Column:
+    return F.slice(array, place + 1, F.greatest(F.size(array) - place, F.lit(0)))
 
 
-def _winnow(grams: str, w: int) -> Column:
-    if w == 1:
-        return F.array_distinct(grams)
-    least = lambda j: F.least(*[F.get(grams, j + i) for i in range(w)])
-    return F.array_distinct(F.transform(steps(0, F.size(grams) - w), least))
+def _runs(df: DataFrame, values: str, out: str, n: int, join) -> DataFrame:
+    """Adds `out`: `join` over each n consecutive `values`, by doubling, so that no element is looked up by place."""
+    size = 1
+    df = df.withColumn(out, F.col(values))
+    while size < n:
+        step = min(size, n - size)  # the next run may overlap this one where join allows; else it is taken from the values
+        df, size = (df.withColumn(out, F.zip_with(out, _from(out, step), join)), size + step)
+    return df.withColumn(out, F.slice(out, 1, F.greatest(F.size(values) - (n - 1), F.lit(0))))
 
 
 class _Plan:
@@ -63,51 +71,69 @@ class _Plan:
 
     def __init__(self, length: int, k: int):
         self.length, self.k, self.w = length, k, length - k + 1
+        self.grams, self.prints = f"_g{length}", f"_f{length}"
 
-    def items(self, bench: DataFrame, exact: bool) -> DataFrame:
-        n = F.size("_w")
-        return bench.filter(n == self.length if exact else n >= self.length)
+    def tag(self, df: DataFrame) -> DataFrame:
+        """Adds the hash of each k words and the distinct minima of each w of these. `df` has _h, the words' hashes; _phrase decides later, so overlapping runs may share words in a gram's hash."""
+        df = _runs(df, "_h", self.grams, self.k, lambda a, b: F.xxhash64(a, b))
+        df = _runs(df, self.grams, self.prints, self.w, lambda a, b: F.least(a, b))
+        return df.withColumn(self.prints, F.array_distinct(self.prints))
 
-    def fingerprints(self, items: DataFrame) -> DataFrame:
-        return _grams(items, self.k).select(F.explode(_winnow("_g", self.w)).alias("_fp")).distinct()
+    def phrases(self) -> Column:
+        return F.array_distinct(F.transform(steps(0, F.size("_w") - self.length), lambda i: _phrase(F.col("_w"), i, self.length)))
 
-    def windows(self, items: DataFrame) -> DataFrame:
-        each = F.transform(steps(0, F.size("_w") - self.length), lambda i: _phrase(F.col("_w"), i, self.length))
-        return items.select("_item", F.explode(F.array_distinct(each)).alias("_p")).distinct()
+    def found(self) -> Column:
+        return F.transform(self.prints, lambda f: F.struct(F.lit(self.length).alias("l"), f.alias("f")))
 
-    def candidates(self, hits: DataFrame) -> DataFrame:
-        """(row with _w, _g, _fp) -> (key, _s, _p): the windows around each place of the fingerprint."""
-        places = F.filter(steps(0, F.size("_g") - 1), lambda i: F.get("_g", i) == F.col("_fp"))
+    def candidates(self) -> Column:
+        """For a row with _w, the grams and one fingerprint _fp: (s, p), the windows around each place of it."""
+        places = F.filter(steps(0, F.size(self.grams) - 1), lambda i: F.get(self.grams, i) == F.col("_fp.f"))
         last = F.size("_w") - self.length
         around = lambda p: steps(F.greatest(F.lit(0), p - (self.length - self.k)), F.least(p, last))
         starts = F.array_distinct(F.flatten(F.transform(places, around)))
-        return hits.withColumn("_starts", starts).withColumn(
-            "_c", F.transform("_starts", lambda s: F.struct(s.alias("s"), _phrase(F.col("_w"), s, self.length).alias("p")))
-        )
+        return F.transform(starts, lambda s: F.struct(s.alias("s"), _phrase(F.col("_w"), s, self.length).alias("p")))
+
+
+def _tagged(df: DataFrame, plans: Sequence[_Plan]) -> DataFrame:
+    # full lower-casing only makes more words equal here
+    return reduce(lambda d, plan: plan.tag(d), plans, df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(F.lower(w)))))
 
 
-def _hits(docs: DataFrame, plan: _Plan, fps: DataFrame, n_fps: int, windows: DataFrame, anchors: bool) -> DataFrame:
-    """(_id, _x, _n, _s, _e, _item): hit windows; with `anchors` also one row without a window for each document row."""
-    tagged = _grams(docs, plan.k).withColumn("_f", _winnow("_g", plan.w))
+def _benchmark(items: DataFrame, window: int, gram: int) -> tuple[list[_Plan], DataFrame, DataFrame]:
+    """The lengths of windows in use, their distinct fingerprints (_fp) and windows (_l, _p, _item)."""
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("_w"), F.lit(window)).alias("l")).filter("l > 0").distinct().collect())
+    plans = [_Plan(n, min(gram, n) if n == window else n) for n in lengths]
+    fps, windows = [], []
+    for plan in plans:
+        own = items.filter(F.size("_w") == plan.length if plan.length < window else F.size("_w") >= window)
+        fps.append(_tagged(own, [plan]).select(F.explode(plan.found()).alias("_fp")))
+        windows.append(own.select(F.lit(plan.length).alias("_l"), F.explode(plan.phrases()).alias("_p"), "_item"))
+    return plans, *(cut(reduce(DataFrame.unionByName, x).distinct()) for x in (fps, windows))
+
+
+#: Columns of a document row that stay with what is found in it.
+OUT = ("_id", "_x", "_n")
+
+
+def _candidates(docs: DataFrame, plans: Sequence[_Plan], fps: DataFrame) -> DataFrame:
+    """(_id, _x, _n, _l, _s, _p): windows around each hit, and one row without a window for each document row."""
+    tagged = _tagged(docs, plans)
     # explode() of a bare column would let the optimizer infer a filter on its size and copy the whole expression, lambdas within lambdas, below
-    anchored = lambda fps: F.explode(F.concat(F.array(F.lit(None).cast("long")), fps)).alias("_fp")
-    out = [F.col("_id"), F.col("_x"), F.col("_n")]
-    if n_fps <= BROADCAST_ROWS:
-        side = fps.select("_fp", F.lit(True).alias("_hit"))
-        rows = tagged.select(*out, "_w", "_g", anchored(F.col("_f"))).join(F.broadcast(side), "_fp", "left")
-        rows = rows.filter("_fp IS NULL OR _hit" if anchors else "_hit")
+    anchored = lambda found: F.explode(F.concat(F.array(F.lit(None).cast("struct<l:int,f:long>")), found)).alias("_fp")
+    own = F.concat(*[p.found() for p in plans])
+    kept = [*OUT, "_w", *[p.grams for p in plans]]
+    if fps.count() <= BROADCAST_ROWS:
+        rows = tagged.select(*kept, anchored(own)).join(F.broadcast(fps.select("_fp", F.lit(True).alias("_hit"))), "_fp", "left").filter("_fp IS NULL OR _hit")
     else:
-        spread = fps.select("_fp", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
-        narrow = tagged.select("_id", "_x", anchored(F.col("_f"))).distinct()
-        narrow = narrow.withColumn("_salt", F.pmod("_x", F.lit(SALTS)).cast("int")).join(spread, ["_fp", "_salt"])
-        found = narrow.groupBy(F.col("_id").alias("_i"), F.col("_x").alias("_y")).agg(F.collect_set("_fp").alias("_m"))
-        joined = tagged.join(found, F.expr("_id <=> _i AND _x = _y"), "left" if anchors else "inner")
-        rows = joined.select(*out, "_w", "_g", anchored(F.coalesce(F.col("_m"), F.array().cast("array<long>"))))
-        rows = rows if anchors else rows.filter("_fp IS NOT NULL")
-    rows = plan.candidates(rows).select(*out, "_fp", F.explode_outer("_c").alias("_c"))
-    rows = rows.select(*out, "_fp", F.col("_c.s").alias("_s"), F.col("_c.p").alias("_p"))
-    rows = rows.join(windows.withColumn("_in", F.lit(True)), "_p", "left").filter("_fp IS NULL OR _in")
-    return rows.select(*out, "_s", (F.col("_s") + plan.length).alias("_e"), "_item")
+        salted = fps.select("_fp", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
+        narrow = tagged.select("_id", "_x", F.explode(F.concat(F.array().cast("array<struct<l:int,f:long>>"), own)).alias("_fp")).distinct()
+        narrow = narrow.withColumn("_salt", F.pmod("_x", F.lit(SALTS)).cast("int")).join(salted, ["_fp", "_salt"])
+        met = cut(narrow.groupBy(id_key(F.col("_id")).alias("_i"), F.col("_x").alias("_y")).agg(F.collect_set("_fp").alias("_m")))
+        joined = tagged.join(maybe_broadcast(met, met.count()), (id_key(F.col("_id")) == F.col("_i")) & (F.col("_x") == F.col("_y")), "left")
+        rows = joined.select(*kept, anchored(F.coalesce(F.col("_m"), F.array().cast("array<struct<l:int,f:long>>"))))
+    windows = reduce(lambda c, p: c.when(F.col("_fp.l") == p.length, p.candidates()), plans, F.when(F.lit(False), None))
+    rows = rows.select(*OUT, "_fp", windows.alias("_c")).select(*OUT, "_fp", F.explode_outer("_c").alias("_c"))
+    return cut(rows.select(*OUT, F.col("_fp.l").alias("_l"), F.col("_c.s").alias("_s"), F.col("_c.p").alias("_p")))
 
 
 def contamination(
@@ -122,19 +148,25 @@ def contamination(
 ) -> DataFrame:
     """One row per document row: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Runs small jobs on the benchmark only: its fingerprints are counted and the
-    lengths of its short items listed (at most window - 1 numbers).
+    Runs small jobs on the benchmark (the lengths of its items, at most `window` numbers,
+    its fingerprints and windows) and one pass over the documents.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), _words(text).alias("_w")).withColumn("_n", F.size("_w").cast("long"))
-    items = bench.select(F.col(item_col).alias("_item"), _words(F.col(item_text_col)).alias("_w"))
-    short = [r[0] for r in items.filter((F.size("_w") > 0) & (F.size("_w") < window)).select(F.size("_w")).distinct().collect()]
-    found = None
-    for plan in [_Plan(window, min(gram, window)), *[_Plan(n, n) for n in sorted(short)]]:
-        own = plan.items(items, exact=plan.length < window)
-        fps = plan.fingerprints(own)
-        part = _hits(rows, plan, fps, fps.count(), plan.windows(own), anchors=found is None)
-        found = part if found is None else found.unionByName(part)
+    rows = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_x"), _words(F.col(text_col)).alias("_w")).withColumn("_n", F.size("_w").cast("long"))
+    items = cut(bench.select(F.col(item_col).alias("_item"), _words(F.col(item_text_col)).alias("_w")))
+    if items.filter(F.size("_w") > 0).isEmpty():
+        found = rows.select(*OUT, F.lit(None).cast("int").alias("_s"), F.lit(None).cast("int").alias("_e"), F.lit(None).cast(items.schema["_item"].dataType).alias("_item"))
+    else:
+        plans, fps, windows = _benchmark(items, window, gram)
+        candidates = _candidates(rows, plans, fps)
+        inside = candidates.filter("_p IS NOT NULL")
+        n = windows.count()
+        if n <= BROADCAST_ROWS:
+            inside = inside.join(F.broadcast(windows), ["_l", "_p"])
+        else:  # a passage of a third of all documents is dealt over the salts
+            salted = windows.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+            inside = inside.withColumn("_salt", F.pmod("_x", F.lit(SALTS)).cast("int")).join(salted, ["_l", "_p", "_salt"])
+        inside = inside.select(*OUT, "_s", (F.col("_s") + F.col("_l")).alias("_e"), "_item")
+        found = inside.unionByName(candidates.filter("_l IS NULL").select(*OUT), allowMissingColumns=True)
     merge = lambda acc, x: F.struct(
         (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["to"], x["s"]))).alias("n"), F.greatest(acc["to"], x["e"]).alias("to")
     )
@@ -162,11 +194,10 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that no benchmark window occurs in, with all columns unchanged."""
+    """The documents that no benchmark window occurs in, with all columns unchanged. Texts move only if those that go are too many to be broadcast."""
     bad = contamination(docs, bench, id_col=id_col, text_col=text_col, **options).filter("contaminated")
-    bad = bad.select(F.col(id_col).alias("__ls_id"), F.col("text_xxhash64").alias("__ls_x")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__ls_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__ls_x"))
-    return docs.join(bad, same, "left_anti")
+    marked = cut(bad.select(id_key(F.col(id_col)).alias("__ls_k"), F.col("text_xxhash64").alias("__ls_x"), F.lit(True).alias("lost"), F.lit(1).alias("rows")).distinct())
+    return without(docs, marked, id_key(F.col(id_col)), text_key(text_col))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -4,15 +4,16 @@ Texts are lower-cased, everything but letters becomes one space, and n-grams of
 1 to 3 characters are hashed into 2^`bits` features. Document frequencies are
 counted over every training row (one pass, summed per feature before they leave
 the cluster). The weights are learned by follow-the-regularised-leader with
-elastic-net penalties on a sample of about `per_language` rows a language (chosen
-by a hash of the id, the least hash first), and a temperature fitted on a fifth of
+elastic-net penalties on a sample of about `per_language` rows a language (those whose
+id has a small hash, in order of that hash), and a temperature fitted on a fifth of
 that sample that was kept out calibrates the probabilities.
 
 What is broadcast is bounded by 2^bits times the number of languages (at most
 `max_languages`), whatever the corpus.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; so is
-every text if there is nothing to learn from; ties go to the language that sorts
+Defined results: a null text, or one without a letter (combining marks are none), is
+`und` with score 0; so is every text if there is nothing to learn from; very long texts
+are read whole, one at a time; ties go to the language that sorts
 first; a null id counts as the empty string when rows are held out; repeated rows
 are each returned; other columns are ignored.
 """
@@ -41,13 +42,13 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray] | None:
-    """Distinct feature indices and their counts; None without a letter."""
+    """Distinct feature indices and their counts; None without a letter. Combining marks count in n-grams, but alone they are no text."""
     if not text:
         return None
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = ta.classes()[cps]
-    letter = (kind == ta.LOWER) | (kind == ta.UPPER) | (kind == ta.LETTER)
-    if not letter.any():
+    letter = ta.wordlike(kind)
+    if not (letter & (kind != ta.COMBINING)).any():
         return None
     a = np.where(letter, cps, np.uint32(32))
     a = a[letter | np.concatenate([[True], letter[:-1]])]  # one space for a run of others
@@ -173,7 +174,9 @@ def train(
     order = F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     chance = F.pmod(order, F.lit(1 << 30)).cast("double") / float(1 << 30)
     sample = rows.withColumn("_o", order).filter(chance < F.element_at(share, F.col("_y"))) if sizes else rows.withColumn("_o", order).limit(0)
-    got = sample.select("_t", "_y", "_o").mapInArrow(vectors, "i array<int>, c array<int>, y string, o long").limit(2 * per_language * max(1, len(languages)))
+    got = sample.select("_t", "_y", "_o").mapInArrow(vectors, "i array<int>, c array<int>, y string, o long")
+    # the sample's own bound is per_language; a limit beyond it holds where very many rows repeat an id
+    got = got.orderBy("o", "y", "i", "c").limit(2 * per_language * max(1, len(languages)))
     place = {y: k for k, y in enumerate(languages)}
     data = got.toArrow()
     each = []

@@ -19,7 +19,8 @@ grows with the corpus; only the three totals of the word counts reach the driver
 Defined results: words are runs of letters and digits, lower-cased; a text without
 words (or null) has n_tokens 0, losses 0 and score 0; without target documents the
 target model knows only its smoothing; a document is target once, however often it
-is marked; repeated rows are each counted and returned; other columns are ignored.
+is marked; very long texts are counted whole; there are no ties, as nothing is chosen;
+repeated rows are each counted and returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [(t or "").lower() for t in texts]
     cps, starts = ta.codepoints(lowered)
     kind = ta.classes()[cps]
-    inside = (kind == ta.LOWER) | (kind == ta.DIGIT) | (kind == ta.LETTER) | (kind == ta.UPPER)
+    inside = ta.wordlike(kind) | (kind == ta.DIGIT)
     at, hashes = ta.words(cps, inside)
     return np.searchsorted(starts, at, side="right") - 1, hashes.view(np.int64)
 

@@ -8,7 +8,9 @@ draw that is a hash of seed and id: reruns and retries agree.
 Only the per-source totals (one row a source) meet in one place; documents are
 read twice and never shuffled. Defined results: a null text has size 0; a null
 source is a source of its own, ordered last; sources without words get target 0;
-rows that repeat an id share its draw; an empty table gives an empty table.
+rows that repeat an id share its draw; very long texts count whole; a draw equal to the
+fraction takes no copy; an empty table gives an empty table; other columns are passed
+through.
 """
 
 from __future__ import annotations

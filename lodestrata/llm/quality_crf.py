@@ -12,9 +12,10 @@ line (its worst). It uses at most about `sample_docs` labelled documents (those
 with the smallest hash of their id); what is broadcast is a few hundred numbers.
 
 Defined results: null and blank texts have no lines and score `EMPTY_SCORE`; blank
-lines are left out; with nothing to learn from every text scores 0.5; of several
-labels of a document the smallest holds; repeated rows are each returned; other
-columns are ignored.
+lines are left out; very long texts are scored whole, one at a time; with nothing to
+learn from every text scores 0.5; of several
+labels of a document the smallest holds (there are no other ties); repeated rows are
+each returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ..partitions import spread
 from . import textarrays as ta
 from .langid import held_out
 
-SAMPLE_DOCS, ROUNDS, STEPS, THRESHOLD, EMPTY_SCORE = 3000, 2, 90, 0.7, 0.0
+SAMPLE_DOCS, ROUNDS, STEPS, TOLERANCE, THRESHOLD, EMPTY_SCORE = 3000, 2, 150, 1e-4, 0.7, 0.0
 #: Upper edges of the bins of each feature.
 BINS = {
     "words": (1, 2, 4, 8, 16, 40, 120),
@@ -68,7 +69,7 @@ def lines(texts: list[str | None]) -> Lines:
     size = newline - begin
     per = lambda mask: np.add.reduceat(mask.astype(np.int64), begin)
     space = kind == ta.SPACE
-    letters = per((kind == ta.LOWER) | (kind == ta.UPPER) | (kind == ta.LETTER))
+    letters = per(ta.wordlike(kind))
     upper, digit, mark, symbol = (per(kind == k) for k in (ta.UPPER, ta.DIGIT, ta.PUNCT, ta.SYMBOL))
     solid = np.maximum(1, size + 1 - per(space))
     at, hashes = ta.words(cps, ~space)
@@ -185,7 +186,7 @@ def _counts(x: Lines, y: np.ndarray) -> np.ndarray:
 
 
 def fit(x: Lines, quality: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS, penalty: float = 2.0) -> Model:
-    """Maximum likelihood with an L2 penalty (Adam on the whole sample). quality: of each text number."""
+    """Maximum likelihood with an L2 penalty (Adam on the whole sample, until the gradient is below TOLERANCE). quality: of each text number."""
     doc_good = quality[x.doc] == 1
     y = doc_good.astype(float)
     theta = np.zeros(3 * N_OWN + 1 + 4)
@@ -205,6 +206,8 @@ def fit(x: Lines, quality: np.ndarray, rounds: int = ROUNDS, steps: int = STEPS,
         for step in range(1, steps + 1):
             good, pairs, _ = marginals(x, potentials(x, theta[:-4]), theta[-4:].reshape(2, 2))
             grad = np.concatenate([_counts(x, good) - want, (pairs - want_pair).ravel()]) / n + penalty * theta / n
+            if np.abs(grad).max() < TOLERANCE:
+                break
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
@@ -220,12 +223,19 @@ def train(labelled: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = lines(list(b["_t"]))
-            rows = [(i, y, x.length[x.doc == k].astype(np.int32).tobytes(), x.own[x.doc == k].tobytes()) for k, (i, y) in enumerate(zip(b["_id"], b["_y"]))]
+            texts, rows = list(b["_t"]), []
+            for start, stop in ta.parts(texts):
+                x = lines(texts[start:stop])
+                at = np.searchsorted(x.doc, np.arange(stop - start + 1))
+                rows += [
+                    (i, y, x.length[p:q].astype(np.int32).tobytes(), x.own[p:q].tobytes())
+                    for i, y, p, q in zip(b["_id"][start:stop], b["_y"][start:stop], at[:-1], at[1:])
+                ]
             yield pd.DataFrame(rows, columns=["i", "y", "n", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(texts.mapInPandas(featurise, f"i {kind}, y int, n binary, f binary").limit(2 * sample_docs).collect(), key=lambda r: (r["i"], r["f"]))
+    # the sample has sample_docs ids; the limit holds where very many rows repeat one
+    got = texts.mapInPandas(featurise, f"i {kind}, y int, n binary, f binary").orderBy("i", "f").limit(2 * sample_docs).collect()
     if not got:
         return Model(np.zeros(3 * N_OWN + 1), np.zeros((2, 2)))
     own = [np.frombuffer(bytes(r["f"]), np.int16).reshape(-1, len(NAMES) + 3) for r in got]

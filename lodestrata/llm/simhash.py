@@ -20,7 +20,7 @@ alternating large-star and small-star rounds, each written to the checkpoint
 folder.
 
 Defined results: a null or blank text has fingerprint zero, which links like any
-other; rows that repeat an id are each returned; null ids never become a
+other; a very long text is hashed whole; a bit that half of the hashes set is 0; rows that repeat an id are each returned; null ids never become a
 component_id unless a component has no other (then it is null); an empty table
 gives an empty table; other columns are ignored.
 """

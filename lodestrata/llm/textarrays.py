@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Classes of code points.
-OTHER, SPACE, LOWER, UPPER, DIGIT, PUNCT, SYMBOL, LETTER = range(8)
+OTHER, SPACE, LOWER, UPPER, DIGIT, PUNCT, SYMBOL, LETTER, COMBINING = range(9)
 #: Marks that ordinary prose uses; all other marks are SYMBOL. Fixed values.
 PROSE_MARKS = ".,;:?!'\"()-–—…«»‘’“”¿¡"
 #: Characters that are held as arrays at once.
@@ -40,10 +40,15 @@ def classes() -> np.ndarray:
         elif kind[0] in "PS":
             out[i] = SYMBOL
         elif kind[0] == "M":
-            out[i] = LETTER
+            out[i] = COMBINING
     return out
 
 
+def wordlike(kind: np.ndarray) -> np.ndarray:
+    """Whether characters of these classes make up words: letters and the marks that combine with them."""
+    return (kind == LOWER) | (kind == UPPER) | (kind == LETTER) | (kind == COMBINING)
+
+
 def parts(texts: Sequence[str | None], limit: int = PART) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` characters each; a longer text stands alone, whole."""
     start = size = 0

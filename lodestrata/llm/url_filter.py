@@ -15,7 +15,8 @@ follows the list (at most `max_listed` keys), not the corpus.
 
 Defined results: a null url, or one without "://", has an empty host and path and
 no rule; no rule means `default`; of a key listed twice "block" holds; of
-candidates of one length the longer host wins; repeated rows are each returned;
+candidates of one length the longer host wins; very long urls are judged whole;
+repeated rows are each returned; an empty table gives an empty table;
 other columns are ignored.
 """
 

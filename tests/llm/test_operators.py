@@ -590,7 +590,9 @@ def weights(spark):
 
 
 def test_html_page(weights):
-    assert html_extract.extract(PAGE, weights) == TEXT.replace("gone\n", "") or html_extract.extract(PAGE, weights) == TEXT
+    assert html_extract.extract(PAGE, weights) == TEXT
+    formula = "<article><p>So <math><mi>E</mi></math> = <svg><text>mc</text></svg> and <canvas>a drawing</canvas>.</p></article>"
+    assert html_extract.extract(formula, weights) == "So E = mc and a drawing."
 
 
 def test_html_without_labels(weights):
@@ -611,22 +613,45 @@ def test_html_extract_over_table(spark):
         assert r["text"] == "\n".join(t for b in blocks if (t := " ".join(b.split()))) and r["n_chars"] == len(r["text"])
 
 
-def test_best_run_against_brute_force(weights):
-    """On pages of plain blocks the scan finds the best contiguous run."""
-    pages = spark_free_pages()
-    for tags in pages:
-        html = "".join(f"<{t}>{w}</{t}>" for t, w in tags)
-        score = [s for t, w in tags for s in (-weights.tags.get(t, 0.001), len(w.split()), -weights.tags.get(t, 0.001))]
-        best = max(sum(score[i:j]) for i in range(len(score)) for j in range(i, len(score) + 1))
-        got = len(html_extract.extract(html, weights).split())
-        kept = [len(w.split()) for _, w in tags]
-        sums = [(sum(score[i:j]), sum(k for n, k in enumerate(kept) if i <= 3 * n + 1 < j)) for i in range(len(score)) for j in range(i, len(score) + 1)]
-        assert got in {k for s, k in sums if s == pytest.approx(best)}
+def test_html_without_names(spark):
+    """With classes and ids removed and all containers renamed to div, pages that were not learned from give the same texts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    weights = html_extract.fit(sum((html_extract.tally(r["html"]) or Counter() for r in rows[::2]), Counter()))
+    same = 0
+    for r in rows[1::2]:
+        bare = re.sub(r"\s(?:class|id)=\"[^\"]*\"", "", r["html"])
+        bare = re.sub(r"<(/?)(?:nav|header|footer|aside|article|section|main)\b[^>]*>", r"<\1div>", bare)
+        assert "<article" not in bare and "<nav" not in bare
+        same += html_extract.extract(bare, weights) == html_extract.extract(r["html"], weights)
+    assert same >= 0.9 * len(rows[1::2])
 
 
-def spark_free_pages():
+def test_html_learns_from_labels_alone():
+    """What looks like content follows the labelled pages: here it stands in <td>, and paragraphs are boilerplate."""
+    labelled = [f"<div><p>bought {i} by the sponsor of the page</p></div><article><table><tr><td>the {i} real words are in a cell of it</td></tr></table></article>" for i in range(40)]
+    weights = html_extract.fit(sum((html_extract.tally(p) for p in labelled), Counter()))
+    assert html_extract.extract("<div><p>bought by the sponsor of the page</p></div><div><table><tr><td>the real words</td></tr></table></div>", weights) == "the real words"
+
+
+def test_html_tables(spark, weights):
+    rows = [(1, None), (2, ""), (3, PAGE), (3, PAGE), (None, "<p>x</p>"), (4, "<div>" * 3000 + "<p>deep</p>"), (5, "<p>" + "long text " * 100_000 + "</p><nav>" + "<li><a>menu</a></li>" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("sign", F.lit("clash")).withColumn("a.b", F.lit(1)).repartition(3)
+    got = html_extract.extract_text(pages, weights=weights)
+    assert got.columns == pages.columns and html_extract.extract_text(pages.limit(0)).count() == 0
+    texts = sorted(((str(r["page_id"]), r["text"]) for r in got.collect()), key=lambda r: (r[0], len(r[1])))
+    assert [t for t in texts if t[0] != "5"] == [("1", ""), ("2", ""), ("3", TEXT), ("3", TEXT), ("4", "deep"), ("None", "x")]
+    assert next(t for i, t in texts if i == "5") == ("long text " * 100_000).strip()
+    assert {r["text"] for r in html_extract.extract_text(pages).collect()} >= {"", "deep", "x"}  # weights of these pages alone
+
+
+def test_best_run_against_brute_force(spark, weights):
     rng = np.random.default_rng(8)
-    return [[(str(rng.choice(["p", "h2", "section", "fieldset"])), " ".join(["w"] * int(rng.integers(1, 6)))) for _ in range(int(rng.integers(1, 8)))] for _ in range(40)]
+    lists = [rng.normal(size=int(rng.integers(0, 12))).tolist() for _ in range(60)]
+    lists += [[score for score, _ in html_extract.scored(r["html"][-1500:], weights)] for r in spark.read.parquet(f"{SF}/pages.parquet").limit(5).collect()]
+    for scores in lists:
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        start, end = html_extract.best_run(scores)
+        assert sum(scores[start:end]) == pytest.approx(max([0.0, *sums.values()]))
 
 
 # ---- shared

@@ -181,7 +181,7 @@ def evaluate_run(spark: SparkSession, config: records.RunConfig, golden: Sequenc
     else:
         items = items.withColumn("answer", F.col("compressed")).withColumn("source", F.lit("fresh"))
     scored = evaluate.judged(evaluate.judged(items, "key_points", "prompt", "original"), "key_points", "answer", "score")
-    scored = scored.join(evaluate.document_f05(items, ["id", "level"], "prompt", "compressed"), ["id", "level"], "left").withColumn("delta", F.round(F.col("score") - F.col("original"), 4)).persist()
+    scored = evaluate.document_f05(scored, "prompt", "compressed").withColumn("delta", F.round(F.col("score") - F.col("original"), 4)).persist()
     levels = evaluate.aggregate(scored, "level").join(stats.bootstrap(scored, "level", resamples=config.resamples, seed=config.seed), "level")
     calls = ledger.accounting(scored, "level")
     rows = [r.asDict(recursive=True) for r in scored.select("level", "id", "load_type", "tokens_original", "tokens_compressed", "native_original", "native_compressed", "kept_ratio", "fact_recall", "token_f05", "original", "score", "delta", "source").orderBy("level", "id").collect()]

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..functions import text as T
 from . import stats
 
@@ -40,22 +41,23 @@ def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.
     return measured.withColumn("kept_ratio", ratio).withColumn("removed", 1 - F.col("kept_ratio")).withColumn("fact_recall", recall).drop("_facts")
 
 
-def document_f05(pairs: DataFrame, keys: list[str], original: str, compressed: str) -> DataFrame:
-    """Token F0.5 of whole documents: words are exploded and counted, so that a long text is no quadratic fold."""
-    tagged = lambda c, o: F.transform(T.word_tokens(F.col(c)), lambda w: F.struct(w.alias("w"), F.lit(o).alias("o"), F.lit(1 - o).alias("c")))
-    long = pairs.select(*keys, F.explode(F.concat(tagged(original, 1), tagged(compressed, 0))).alias("t")).select(*keys, "t.*")
-    per_word = long.groupBy(*keys, "w").agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
-    totals = per_word.groupBy(*keys).agg(F.sum(F.least("o", "c")).alias("overlap"), F.sum("o").alias("n_o"), F.sum("c").alias("n_c"))
-    return totals.filter("n_o > 0").select(*keys, T.f05(F.col("overlap"), F.col("n_o"), F.col("n_c")).alias("token_f05"))
+def document_f05(items: DataFrame, original: str, compressed: str, name: str = "token_f05", wordless: bool = True) -> DataFrame:
+    """`items` with the token F0.5 of each row's texts; null where the original has no words, or without these rows. Nothing is shuffled."""
+    counted = items.withColumns({"_a": T.word_tokens(F.col(original)), "_b": T.word_tokens(F.col(compressed))})
+    counted = counted if wordless else counted.filter(F.size("_a") > 0)
+    measured = counted.withColumns({"_o": T.overlap(F.col("_a"), F.col("_b")), "_na": F.size("_a"), "_nb": F.size("_b")})
+    return measured.withColumn(name, F.when(F.col("_na") > 0, T.f05(F.col("_o"), F.greatest(F.col("_na"), F.lit(1)), F.col("_nb")))).drop("_a", "_b", "_o", "_na", "_nb")
 
 
 def aggregate(items: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
-    """Sums, the ratio of sums, means of ratios and exact percentiles, and `more` aggregates in the same pass."""
-    return items.groupBy(*keys).agg(
+    """Sums, the ratio of sums, means of ratios and exact percentiles, and `more` aggregates in the same pass. Reads the items' numbers, not their texts, from a written table."""
+    rows = cut(items)
+    sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("tokens_original").alias("sum_original"), F.sum("tokens_compressed").alias("sum_compressed"),
         (F.sum("tokens_compressed").cast("double") / F.sum("tokens_original")).alias("kept_micro"), F.round(F.avg("kept_ratio"), 9).alias("kept_macro"),
-        F.round(F.avg("fact_recall"), 9).alias("mean_fact_recall"), stats.percentile("kept_ratio", 95).alias("kept_p95"), *more,
+        F.round(F.avg("fact_recall"), 9).alias("mean_fact_recall"), *more,
     )
+    return stats.with_percentiles(sums, rows, list(keys), {"kept_p95": ("kept_ratio", 95)})
 
 
 def judged(items: DataFrame, points: str, answer: str, name: str) -> DataFrame:

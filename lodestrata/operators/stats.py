@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +14,50 @@ from ..checkpoint import cut
 
 #: One-sided 95 % and 80 % power.
 Z_ALPHA, Z_POWER = 1.6449, 0.8416
+#: Deltas of all groups together that may be broadcast to their draws; beyond it both sides shuffle by (group, rank).
+BROADCAST_ROWS = 1_000_000
 
 
-def percentile(col: Column | str, p: float) -> Column:
-    """Linear interpolation at rank p / 100 * (n - 1); null without rows."""
-    return F.percentile(col, F.lit(p / 100.0))
+def ranked(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """`df` with `rank` (from 0, in that order) and `n` (rows) of each group.
+
+    Rows are range-partitioned by group and order, so that a group of any size is dealt
+    over the tasks: a rank is the size of the group's ranges before plus the rank inside.
+    """
+    tagged = cut(df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("_b", F.spark_partition_id()))
+    sizes = tagged.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_c"))  # a row for each range, and one for each group
+    whole = Window.partitionBy(*groups)
+    sizes = sizes.withColumn("_above", F.sum("_c").over(whole.orderBy("_b")) - F.col("_c")).withColumn("n", F.sum("_c").over(whole)).drop("_c")
+    sizes = sizes.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)], F.col("_b").alias("_gb"), "_above", "n")
+    inside = tagged.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_b").orderBy(*order)))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups)]
+    joined = inside.join(sizes, reduce(lambda x, y: x & y, same, F.col("_b") == F.col("_gb")))
+    return joined.withColumn("rank", F.col("_above") + F.col("_r") - 1).drop("_b", "_r", "_above", "_gb", *[f"_g{k}" for k in range(len(groups))])
+
+
+def percentiles(df: DataFrame, groups: list[str], value: str, points: Mapping[str, float]) -> DataFrame:
+    """(groups, points): linear interpolation at rank p / 100 * (n - 1) of each group's values. Only ranks meet, no group's values; nulls do not count."""
+    rows = ranked(df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), groups, [F.col("_v")])
+
+    def point(p: float) -> Column:
+        at = F.lit(p / 100.0) * (F.col("n") - 1)
+        below = F.max(F.when(F.col("rank") == F.floor(at), F.col("_v")))
+        above = F.max(F.when(F.col("rank") == F.ceil(at), F.col("_v")))
+        share = F.max(at - F.floor(at))
+        return below + (above - below) * share
+
+    return rows.groupBy(*groups).agg(*[point(p).alias(name) for name, p in points.items()])
+
+
+def with_percentiles(aggregates: DataFrame, df: DataFrame, groups: list[str], points: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """`aggregates` (a row for each group) with percentiles {name: (value, p)}."""
+    out = aggregates
+    for value in dict.fromkeys(v for v, _ in points.values()):
+        found = percentiles(df, groups, value, {name: p for name, (v, p) in points.items() if v == value})
+        found = found.withColumnsRenamed({g: f"_p{k}" for k, g in enumerate(groups)})
+        same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_p{k}")) for k, g in enumerate(groups)])
+        out = out.join(found, same, "left").drop(*[f"_p{k}" for k in range(len(groups))])
+    return out
 
 
 def sample_variance(col: Column | str) -> Column:
@@ -41,27 +82,29 @@ def sizing(df: DataFrame, group: str, delta: str = "delta") -> DataFrame:
 
 
 def resample_means(df: DataFrame, group: str, order: str, delta: str, resamples: int, seed: int) -> DataFrame:
-    """(group, r, mean): hash-indexed resamples with replacement. The draws, not the rows, are dealt out: a group's deltas travel once, as an array."""
-    packed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("_a")).withColumn("_n", F.size("_a"))
-    n, rows = F.col("_n"), F.col("_a")
-
-    def pick(i: Column) -> Column:
-        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), i.cast("string")))
-        return F.get(rows, (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n).cast("int"))[delta]
-
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + pick(i))
-    spread = packed.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return spread.select(group, "r", (total / n).alias("mean"))
+    """(group, r, mean): hash-indexed resamples with replacement. Each draw is a row that meets its delta by rank, so that no group's deltas stand in one place; sums are combined where the draws are."""
+    rows = cut(ranked(df.select(group, order, F.col(delta).alias("_v")), [group], [F.col(order)]).select(group, "rank", "_v", "n"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(group, "r")
+    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")))
+    drawn = draws.withColumn("rank", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("_n"))
+    values = rows.select(F.col(group).alias("_g"), F.col("rank").alias("_k"), "_v")
+    if total <= BROADCAST_ROWS:
+        values = F.broadcast(values)
+    met = drawn.join(values, F.col(group).eqNullSafe(F.col("_g")) & (F.col("rank") == F.col("_k")))
+    return met.groupBy(group, "r").agg((F.sum("_v") / F.max("_n")).alias("mean"))
 
 
 def bootstrap(df: DataFrame, group: str, order: str = "id", delta: str = "delta", resamples: int = 200, seed: int = 7, confidence: float = 0.95, bounds: str = "linear") -> DataFrame:
-    """Percentile bootstrap of each group's mean. bounds: "linear" interpolates, "order" takes order statistics."""
+    """Percentile bootstrap of each group's mean. bounds: "linear" interpolates, "order" takes order statistics. What meets in a group is its `resamples` means."""
     means = resample_means(df, group, order, delta, resamples, seed)
     low = (1 - confidence) / 2
     if bounds == "linear":
         cis = means.groupBy(group).agg(F.percentile("mean", F.lit(low)).alias("ci_low"), F.percentile("mean", F.lit(1 - low)).alias("ci_high"))
     else:
-        sorted_ = F.array_sort(F.collect_list("mean"))  # `resamples` values
+        sorted_ = F.array_sort(F.collect_list("mean"))
         cis = means.groupBy(group).agg(
             F.element_at(sorted_, int(low * resamples) + 1).alias("ci_low"), F.element_at(sorted_, int((1 - low) * resamples)).alias("ci_high")
         )
@@ -92,21 +135,16 @@ def seeded_bootstrap(df: DataFrame, group: str, order: str = "id", delta: str =
 def distributions(df: DataFrame, metrics: list[str], scope: str) -> DataFrame:
     """p50, p90, p95 and mean of each metric in each scope."""
     pairs = ", ".join(f"'{m}', {m}" for m in metrics)
-    long = df.select(scope, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)"))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return long.groupBy(scope, "metric").agg(p.alias("_p"), F.avg("value").alias("mean")).select(scope, "metric", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p90"), F.col("_p")[2].alias("p95"), "mean")
+    long = cut(df.select(scope, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)")))
+    means = long.groupBy(scope, "metric").agg(F.avg("value").alias("mean"))
+    points = {"p50": ("value", 50), "p90": ("value", 90), "p95": ("value", 95)}
+    return with_percentiles(means, long, [scope, "metric"], points).select(scope, "metric", "p50", "p90", "p95", "mean")
 
 
 def drop_top(df: DataFrame, metric: str, fraction: float, id_col: str = "id") -> DataFrame:
-    """`df` with `dropped`: the ceil(fraction * n) rows with the largest (metric, id).
-
-    Rows are range-partitioned by (metric, id), so that many equal metrics are
-    dealt out by id; a rank is the size of the ranges before plus the rank inside.
-    """
-    order = [F.desc(metric), F.desc(id_col)]
-    tagged = cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
-    sizes = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    sizes = sizes.withColumn("_above", F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")).withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    inside = Window.partitionBy("_b").orderBy(*order)
-    ranked = tagged.withColumn("_r", F.row_number().over(inside)).join(F.broadcast(sizes.drop("_c")), "_b")  # a row for each partition
-    return ranked.withColumn("dropped", F.col("_above") + F.col("_r") <= F.ceil(F.lit(float(fraction)) * F.col("_n"))).drop("_b", "_r", "_above", "_n")
+    """`df` with `dropped`: the ceil(fraction * n) rows with the largest (metric, id), and `threshold`: the largest metric that stays (null if none does)."""
+    rows = ranked(df.withColumn("_all", F.lit(0)), ["_all"], [F.desc(metric), F.desc(id_col)])
+    cutoff = F.ceil(F.lit(float(fraction)) * F.col("n"))
+    marked = cut(rows.withColumn("dropped", F.col("rank") < cutoff).withColumn("_edge", F.when(F.col("rank") == cutoff, F.col(metric))))
+    edge = marked.agg(F.max("_edge").alias("threshold"))
+    return marked.drop("_all", "rank", "n", "_edge").crossJoin(F.broadcast(edge))  # one row

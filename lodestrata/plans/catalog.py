@@ -337,7 +337,7 @@ AGG = "count(*) AS n_items, sum(o)::BIGINT AS sum_original, sum(c)::BIGINT AS su
 
 @query(f"WITH {SWEEP} SELECT level, {AGG} FROM m GROUP BY level")
 def eval_levels_sweep(spark, d):
-    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(evaluate.prepare(nonblank(spark, d)), LEVELS)), "level")
+    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(evaluate.prepare(nonblank(spark, d)), LEVELS)).drop("text", "compressed"), "level")
 
 
 def f05_sql(pairs: str) -> str:
@@ -351,7 +351,7 @@ ff AS (SELECT doc_id, CASE WHEN v = 0 THEN 0.0 ELSE 1.25 * (v / len(b)) * (v / l
 @query(f"WITH {ITEM}, pr AS (SELECT doc_id, {WORDS.format('text')} AS a, {WORDS.format('compressed')} AS b FROM it), {f05_sql('pr')} SELECT doc_id, round(f, 9) AS token_f05 FROM ff")
 def token_f05_docs(spark, d):
     items = evaluate.item_metrics(evaluate.sweep(nonblank(spark, d), [0.2]))
-    return evaluate.document_f05(items, ["doc_id"], "text", "compressed").select("doc_id", F.round("token_f05", 9).alias("token_f05"))
+    return evaluate.document_f05(items, "text", "compressed", wordless=False).select("doc_id", F.round("token_f05", 9).alias("token_f05"))
 
 
 @query(f"""WITH {SRC}, f1 AS (SELECT doc_id, text, lang, fp FROM src QUALIFY row_number() OVER (PARTITION BY fp ORDER BY doc_id) = 1),
@@ -366,14 +366,16 @@ def eval_level_by_lang(spark, d):
     firsts = cut(source_rows(spark, d).groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("subset", F.lit("all")))
     chosen = firsts.join(splits.half_split(firsts).filter("half = 'eval'").select("fp"), "fp").select("doc_id")
     items = evaluate.item_metrics(evaluate.sweep(nonblank(spark, d).join(chosen, "doc_id", "left_semi"), [0.2]))
-    scored = items.join(evaluate.document_f05(items, ["doc_id"], "text", "compressed"), "doc_id", "left")
+    scored = evaluate.document_f05(items, "text", "compressed").drop("text", "compressed")
     return evaluate.aggregate(scored, "lang", more=[F.round(F.avg("token_f05"), 9).alias("mean_token_f05")])
 
 
 @query(f"WITH n AS (SELECT lang, len({WS.format('text')}) AS n FROM documents) SELECT lang, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, round(coalesce(var_samp(n), 0), 6) AS variance, round(avg(n), 4) AS mean FROM n GROUP BY lang")
 def length_percentiles(spark, d):
     n = table(spark, d, "documents").select("lang", F.size(T.ws_tokens(F.col("text"))).alias("n"))
-    return n.groupBy("lang").agg(stats.percentile("n", 50).alias("p50"), stats.percentile("n", 95).alias("p95"), F.round(stats.sample_variance("n"), 6).alias("variance"), stats.rounded_mean("n").alias("mean"))
+    n = cut(n)
+    moments = n.groupBy("lang").agg(F.round(stats.sample_variance("n"), 6).alias("variance"), stats.rounded_mean("n").alias("mean"))
+    return stats.with_percentiles(moments, n, ["lang"], {"p50": ("n", 50), "p95": ("n", 95)})
 
 
 def deltas(spark, d):
@@ -526,26 +528,46 @@ def teacher_chunks(spark, d):
     return distill.chunks(table(spark, d, "documents").select("doc_id", "text")).withColumn("short", T.stub_compress(F.col("text"), 3))
 
 
-def labelled(spark, d):
-    words = teacher_chunks(spark, d).select("doc_id", "index", T.word_tokens(F.col("text")).alias("o"), T.word_tokens(F.col("short")).alias("c"))
-    return distill.match_labels(words, "o", "c").drop("labels")
+#: Words of a piece, how far a match may be from the cursor, and the words dropped of ten.
+PIECE, NEAR, DROP = 64, 24, 4
 
 
-@query()
+def pieces(spark, d):
+    """Runs of PIECE words of each text, and the reversed lower-case compression of each."""
+    w = nonblank(spark, d).select("doc_id", "lang", T.word_tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    each = w.select("doc_id", "lang", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PIECE).cast("int"))).alias("piece"))
+    o = each.select("doc_id", "lang", "piece", F.slice("w", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("o"))
+    return o.withColumn("c", F.reverse(F.transform(T.compress_words(F.col("o"), DROP), lambda x: F.lower(x))))
+
+
+MATCHED = f"""wd AS (SELECT doc_id, lang, {WORDS.format('text')} AS w FROM documents WHERE regexp_matches(text, '\\S')),
+pi AS (SELECT doc_id, lang, piece, w[piece * {PIECE} + 1 : (piece + 1) * {PIECE}] AS o FROM (SELECT doc_id, lang, w, unnest(range((len(w) + {PIECE - 1}) // {PIECE})) AS piece FROM wd)),
+pc2 AS (SELECT doc_id, lang, piece, list_transform(o, lambda x: lower(x)) AS o, list_reverse(list_transform({kept_words('o', DROP)}, lambda x: lower(x))) AS c FROM pi),
+fd2 AS (SELECT doc_id, lang, piece, len(o) AS n_origin, len(c) AS n_comp, list_reduce(list_prepend({{'c': 0, 't': []::INT[], 'f': 0, 'w': ''}}, list_transform(c, lambda x: {{'c': 0, 't': []::INT[], 'f': 0, 'w': x}})),
+  lambda a, e: list_transform([list_sort(list_transform(list_filter(range(len(o)), lambda p: o[p + 1] = e.w AND NOT list_contains(a.t, p::INT)), lambda p: {{'d': abs(p - a.c)::INT, 'b': (p < a.c)::INT, 'p': p::INT}}))[1]],
+    lambda n: {{'c': (CASE WHEN n.d < {NEAR} THEN least(n.p, a.c + {NEAR // 2}) ELSE a.c END)::INT, 't': CASE WHEN n.d < {NEAR} THEN list_append(a.t, n.p) ELSE a.t END,
+      'f': (a.f + list_contains(o, e.w)::INT)::INT, 'w': ''}})[1]) AS r FROM pc2),
+mp AS (SELECT doc_id, lang, piece, n_origin, n_comp, len(r.t) AS n_kept, r.f AS num_find, array_to_string(list_sort(r.t), ',') AS kept FROM fd2)"""
+
+
+def matched(spark, d):
+    return distill.match_labels(pieces(spark, d), "o", "c", NEAR)
+
+
+@query(f"WITH {MATCHED} SELECT doc_id, piece::BIGINT AS piece, n_origin::BIGINT AS n_origin, n_comp::BIGINT AS n_comp, n_kept::BIGINT AS n_kept, num_find::BIGINT AS num_find, kept FROM mp")
 def match_labels(spark, d):
-    return distill.label_metrics(labelled(spark, d), "n_origin", "n_comp", "n_kept", "num_find")
+    places = F.array_compact(F.transform("labels", lambda keep, i: F.when(keep, i)))
+    numbers = [F.col(c).cast("long").alias(c) for c in ("piece", "n_origin", "n_comp", "n_kept", "num_find")]
+    return matched(spark, d).select("doc_id", *numbers, F.array_join(places.cast("array<string>"), ",").alias("kept"))
 
 
 def metric_rows(spark, d):
-    """Per document: words of the text, of its reversed-case compression at 0.4, and how many of these the text has."""
-    w = nonblank(spark, d).select("doc_id", "lang", T.word_tokens(F.col("text")).alias("o"), T.word_tokens(T.stub_compress(F.lower("text"), 4)).alias("c"))
-    n = w.select("doc_id", "lang", F.size("o").alias("n_origin"), F.size("c").alias("n_comp"), F.size(F.array_intersect("c", "o")).alias("num_find"), F.size(F.array_intersect("c", F.slice("o", 1, 40))).alias("n_kept"))
-    return distill.label_metrics(n.filter("n_origin > 0"), "n_origin", "n_comp", "n_kept", "num_find")
+    """Rates of each document from the matches of its pieces."""
+    sums = [F.sum(c).alias(c) for c in ("n_origin", "n_comp", "n_kept", "num_find")]
+    return distill.label_metrics(matched(spark, d).groupBy("doc_id", "lang").agg(*sums), "n_origin", "n_comp", "n_kept", "num_find")
 
 
-METRICS = f"""w0 AS (SELECT doc_id, lang, text, {WS.format('lower(text)')} AS w FROM documents),
-mw AS (SELECT doc_id, lang, {WORDS.format('text')} AS o, {WORDS.format("array_to_string(" + kept_words('w', 4) + ", ' ')")} AS c FROM w0 WHERE len(w) > 0),
-mc AS (SELECT doc_id, lang, len(o) AS n_origin, len(c) AS n_comp, len(list_intersect(c, o)) AS num_find, len(list_intersect(c, o[1:40])) AS n_kept FROM mw WHERE len(o) > 0),
+METRICS = MATCHED + """, mc AS (SELECT doc_id, lang, sum(n_origin) AS n_origin, sum(n_comp) AS n_comp, sum(num_find) AS num_find, sum(n_kept) AS n_kept FROM mp GROUP BY doc_id, lang),
 mt AS (SELECT doc_id, lang, n_comp::DOUBLE / n_origin AS word_compressed_rate, coalesce(num_find::DOUBLE / nullif(n_comp, 0), 0) AS find_rate, 1 - coalesce(num_find::DOUBLE / nullif(n_comp, 0), 0) AS variation_rate,
   num_find::DOUBLE / n_origin AS hitting_rate, n_kept::DOUBLE / n_origin AS matching_rate, num_find::DOUBLE / n_origin - n_kept::DOUBLE / n_origin AS alignment_gap FROM mc)"""
 RATES = ["word_compressed_rate", "find_rate", "variation_rate", "hitting_rate", "matching_rate", "alignment_gap"]

@@ -9,10 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import delivery, jobs
+from . import delivery, jobs, runs
 from .operators import stats
 from .session import get_session
-from .sources import counters, records, sinks
+from .sources import clients, counters, records, sinks
 
 
 def pairs(text: str) -> dict[str, int]:
@@ -45,7 +45,8 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, **how)
 
     many = {"nargs": "+", "required": True}
-    add("eval-run", "--config", "--out", "--run-id", golden=("--golden", many), sha=("--expect-golden-sha", {}), journal=("--resume-from", {}))
+    add("eval-run", "--config", "--out", ident=("--run-id", {}), golden=("--golden", many), sha=("--expect-golden-sha", {}), resume=("--resume-from", {}), journal=("--journal", {}))
+    add("golden-freeze", "--out", golden=("--golden", many), pins=("--pins", {"default": "{}"}))
     add("eval-sizing", "--run", "--level", out=("--out", {}))
     add("golden-validate", files=("files", {"nargs": "+"}))
     add("golden-manifest", "--subsets", "--data-dir", "--out")
@@ -56,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     add("corpus-build", "--manifest", "--data-dir", "--out", "--out-manifest")
     add("corpus-validate", "--manifest", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}))
     add("corpus-build-synthetic", "--targets", "--out", "--out-manifest", golden=("--golden", {"nargs": "*", "default": []}))
-    add("distill-run", "--chunk-budget", "--out", corpus=("--corpus", many), window=("--window-size", {"type": int, "default": 150}), cap=("--max-chunk-tokens", {"type": int, "default": 512}), vr=("--vr-drop-fraction", {"type": float, "default": 0.05}), ag=("--ag-drop-fraction", {"type": float, "default": 0.10}))
+    add("distill-run", "--chunk-budget", "--out", corpus=("--corpus", many), window=("--window-size", {"type": int, "default": 150}), cap=("--max-chunk-tokens", {"type": int, "default": 512}), vr=("--vr-drop-fraction", {"type": float, "default": 0.05}), ag=("--ag-drop-fraction", {"type": float, "default": 0.10}), journal=("--journal", {}), url=("--gateway-url", {}), teacher=("--teacher-model", {}), interval=("--call-interval", {"type": float, "default": 0.0}), frozen=("--corpus-manifest", {}))
     add("train-windows", "--dataset", "--out", n=("--max-seq-len", {"type": int, "default": 512}))
     add("delivery-verify", "--checkpoint", report=("--report", {}))
     add("delivery-pack", "--checkpoint", "--out", "--draft")
@@ -71,15 +72,17 @@ def run(a: argparse.Namespace) -> object:
         if report["overall"] == delivery.VIOLATION:
             raise ValueError("checkpoint fails: " + ", ".join(c["check"] for c in report["checks"] if c["state"] == delivery.VIOLATION))
         return report
+    if a.command == "golden-freeze":
+        return runs.freeze(a.golden, json.loads(a.pins), a.out)
     spark = get_session(a.master)
     load = lambda path: json.loads(Path(path).read_text(encoding="utf-8"))
     if a.command == "eval-run":
-        return str(jobs.evaluate_run(spark, records.read_config(a.config), a.golden, a.out, a.run_id, a.expect_golden_sha, a.resume_from))
+        return str(runs.evaluate_run(spark, records.read_config(a.config), a.golden, a.out, a.run_id, a.expect_golden_sha, a.resume_from, a.journal))
     if a.command == "eval-sizing":
-        rows = [(r["load_type"], float(r["delta"])) for r in load(f"{a.run}/metrics.json")["rows"] if r["level"] == float(a.level)]
-        if not rows:
+        rows = spark.read.parquet(f"{a.run}/items").filter((F.col("level") == float(a.level)) & F.col("delta").isNotNull())
+        if rows.isEmpty():
             raise ValueError(f"the run has no level {a.level}")
-        out = [r.asDict() for r in stats.sizing(spark.createDataFrame(rows, "load_type string, delta double"), "load_type").orderBy(F.col("overall").desc(), "load_type").collect()]
+        out = [r.asDict() for r in stats.sizing(rows, "load_type").orderBy(F.col("overall").desc(), "load_type").collect()]
         if a.out:
             sinks.write_json(a.out, out)
         return out
@@ -107,7 +110,11 @@ def run(a: argparse.Namespace) -> object:
     if a.command == "corpus-build-synthetic":
         return jobs.build_synthetic(spark, pairs(a.targets), a.golden, a.out, a.out_manifest)
     if a.command == "distill-run":
-        return jobs.distill_run(spark, a.corpus, pairs(a.chunk_budget), a.out, cap=a.max_chunk_tokens, window=a.window_size, vr=a.vr_drop_fraction, ag=a.ag_drop_fraction)
+        if bool(a.gateway_url) != bool(a.teacher_model):
+            raise ValueError("--gateway-url and --teacher-model go together")
+        model = clients.ChatModel(clients.Endpoint(a.gateway_url, interval=a.call_interval), a.teacher_model) if a.gateway_url else None
+        frozen = load(a.corpus_manifest) if a.corpus_manifest else None
+        return runs.distill_run(spark, a.corpus, pairs(a.chunk_budget), a.out, cap=a.max_chunk_tokens, window=a.window_size, vr=a.vr_drop_fraction, ag=a.ag_drop_fraction, model=model, model_name=a.teacher_model, journal=a.journal, manifest=frozen)
     if a.command == "train-windows":
         return jobs.export_windows(spark, a.dataset, a.out, a.max_seq_len)
     return delivery.pack(spark, a.checkpoint, a.out, a.draft)

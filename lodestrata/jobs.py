@@ -1,4 +1,4 @@
-"""End-to-end jobs: splits and manifests, corpora, evaluation runs, distillation, training windows.
+"""End-to-end jobs: splits and manifests, corpora, exams, training windows (runs.py has what calls models).
 
 Each takes paths, checks before it spends, and writes its manifest last.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import schema as S
 from .functions import text as T
-from .operators import corpus, distill, evaluate, ledger, splits, stats, synth, windows
+from .operators import corpus, splits, synth, windows
 from .sources import counters, records, sinks
 
 
@@ -22,10 +22,10 @@ def subset_rows(spark: SparkSession, registry: DataFrame, data_dir: str) -> Data
     """Rows of every registered subset: subset, fp, prompt, question, answers, pos."""
     out = None
     for r in registry.collect():  # one row a subset
-        rows = records.read_numbered(spark, [f"{data_dir}/{r['file']}"], S.SOURCE)
-        bad = rows.filter(F.col(S.CORRUPT).isNotNull() | F.col("input").isNull() | F.col("context").isNull() | F.col("answers").isNull()).select("line").limit(1).collect()
+        rows = records.read_ordered(spark, [f"{data_dir}/{r['file']}"], S.SOURCE)
+        bad = rows.filter(F.col(S.CORRUPT).isNotNull() | F.col("input").isNull() | F.col("context").isNull() | F.col("answers").isNull()).orderBy("pos").limit(1).collect()
         if bad:
-            raise ValueError(f"{r['file']}: line {bad[0]['line']}: input, context and answers are required")
+            raise ValueError(f"{r['file']}: input, context and answers are required ({(bad[0][S.CORRUPT] or str(bad[0]['input']))[:80]})")
         rows = rows.select(F.lit(r["name"]).alias("subset"), T.fingerprint(F.col("context"), F.col("input")).alias("fp"), F.col("context"), F.col("input").alias("question"), "answers", "pos")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -164,59 +164,6 @@ def synthetic_problems(spark: SparkSession, paths: Sequence[str], golden: Sequen
     return corpus_problems(spark, paths, {"subsets": known}, golden).unionByName(_synthetic_errors(rows.drop("fp"), fams, "train")).unionByName(digests)
 
 
-def evaluate_run(spark: SparkSession, config: records.RunConfig, golden: Sequence[str], out: str, run_id: str, expect_sha256: str | None = None, journal: str | None = None) -> Path:
-    """Compress the exam at each level, measure, judge mechanically, and write a run folder. Calls already in the journal are reused."""
-    from hashlib import sha256
-
-    digest = sha256(b"".join(Path(p).read_bytes() for p in golden)).hexdigest()
-    if expect_sha256 and expect_sha256.lower().removeprefix("sha256:") != digest:
-        raise ValueError("the exam's digest is not the expected one")
-    count = counters.build(config.counter, config.vocabulary)
-    exam = records.read_golden(spark, golden).select("id", "load_type", "prompt", "key_points")
-    items = evaluate.item_metrics(evaluate.sweep(exam, config.levels), text="prompt")
-    items = items.withColumn("native_original", count(F.col("prompt"))).withColumn("native_compressed", count(F.col("compressed")))
-    if journal:
-        known = records.read_journal(spark, journal).select(F.col("item").alias("id"), "level", "payload", "answer")
-        items = ledger.replay(items.withColumn("payload", F.col("compressed")), known, ["id", "level"]).withColumn("answer", F.coalesce("replayed", "compressed")).drop("payload", "replayed")
-    else:
-        items = items.withColumn("answer", F.col("compressed")).withColumn("source", F.lit("fresh"))
-    scored = evaluate.judged(evaluate.judged(items, "key_points", "prompt", "original"), "key_points", "answer", "score")
-    scored = evaluate.document_f05(scored, "prompt", "compressed").withColumn("delta", F.round(F.col("score") - F.col("original"), 4)).persist()
-    levels = evaluate.aggregate(scored, "level").join(stats.bootstrap(scored, "level", resamples=config.resamples, seed=config.seed), "level")
-    calls = ledger.accounting(scored, "level")
-    rows = [r.asDict(recursive=True) for r in scored.select("level", "id", "load_type", "tokens_original", "tokens_compressed", "native_original", "native_compressed", "kept_ratio", "fact_recall", "token_f05", "original", "score", "delta", "source").orderBy("level", "id").collect()]
-    metrics = {"schema_version": 3, "run_id": run_id, "golden": {"sha256": digest, "item_count": len({r["id"] for r in rows})}, "config": vars(config), "rows": rows, "levels": [r.asDict() for r in levels.join(calls, "level").orderBy("level").collect()]}
-    report = f"# Run {run_id}\n\n{sinks.markdown_table(levels, ['level'])}"
-    scored.unpersist()
-    return sinks.write_run(out, run_id, metrics, report)
-
-
-def distill_run(spark: SparkSession, paths: Sequence[str], budgets: Mapping[str, int], out: str, drop: int = 3, cap: int = distill.CAP, window: int = distill.WINDOW, vr: float = 0.05, ag: float = 0.10, count=distill.ws_count) -> dict:
-    """Chunk, select within budgets, compress (a stand-in teacher drops `drop` words of ten), label, control, write."""
-    identity = {"corpus": sorted(sinks.sha256_file(p) for p in paths), "cap": cap, "window": window, "vr": vr, "ag": ag, "drop": drop}
-    sinks.check_identity(f"{out}/manifest.json", identity)
-    rows = records.read_numbered(spark, paths, S.CORPUS)
-    present = {r[0] for r in rows.select("load_type").distinct().collect()}
-    if set(budgets) - present:
-        raise ValueError(f"budgets name unknown classes {sorted(set(budgets) - present)}")
-    chunks = distill.chunks(rows, "id", "prompt", cap, count).persist()
-    needs = rows.select("id", "load_type", "pos").join(chunks.groupBy("id").agg(F.count(F.lit(1)).alias("need")), "id", "left").withColumn("need", F.coalesce("need", F.lit(0)))
-    chosen = distill.budget_select(needs, dict(budgets))
-    jobs = chunks.join(chosen, "id").withColumn("compressed_text", T.stub_compress(F.col("text"), drop)).withColumnRenamed("id", "entry_id").withColumn("id", F.concat("entry_id", F.lit("#c"), "index"))
-    labelled = distill.label_chunks(jobs, "text", "compressed_text", window)
-    counted = labelled.withColumn("n_origin", F.size("tokens")).withColumn("n_kept", F.size(F.filter("tokens", lambda t: t["keep"] == 1)))
-    measured = distill.label_metrics(counted, "n_origin", "n_comp", "n_kept", "num_find").filter("n_origin > 0")
-    controlled = distill.quality_control(measured, vr, ag).persist()
-    controlled.filter("dropped_by IS NULL").drop("dropped_by").write.mode("overwrite").partitionBy("load_type").parquet(f"{out}/labeled")
-    summary = [r.asDict() for r in stats.distributions(controlled.withColumn("kept", F.col("dropped_by").isNull()), ["variation_rate", "alignment_gap", "matching_rate"], "kept").orderBy("kept", "metric").collect()]
-    counts = [r.asDict() for r in controlled.groupBy("load_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("dropped_by").isNull()).alias("kept"), F.count_distinct("entry_id").alias("entries")).orderBy("load_type").collect()]
-    manifest = {"identity": identity, "counts": counts, "distributions": summary, "quarantined": counted.filter("n_origin = 0").count()}
-    sinks.write_json(f"{out}/manifest.json", manifest)
-    chunks.unpersist()
-    controlled.unpersist()
-    return manifest
-
-
 def export_windows(spark: SparkSession, labeled: str, out: str, max_seq_len: int = 512) -> int:
     """Training windows of a labelled dataset as Parquet (training itself is left to a trainer)."""
     rows = spark.read.parquet(labeled).select("id", "text", "tokens")

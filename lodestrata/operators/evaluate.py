@@ -26,12 +26,12 @@ def sweep(items: DataFrame, levels: Sequence[float]) -> DataFrame:
     return items.withColumn("_l", F.explode(rows)).select("*", "_l.level", "_l.drop").drop("_l")
 
 
-def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.compress_words) -> DataFrame:
-    """Adds compressed, tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column, and is prepared here if it has not been."""
+def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.compress_words, given: str | None = None) -> DataFrame:
+    """Adds compressed (unless a column with it is given), tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column, and is prepared here if it has not been."""
     words = items if "_words" in items.columns else prepare(items, text)
-    kept = words.withColumn("_kept", compress(F.col("_words"), F.col("drop")))
+    kept = words.withColumn("_kept", T.ws_tokens(F.col(given)) if given else compress(F.col("_words"), F.col("drop")))
     measured = (
-        kept.withColumn("compressed", F.array_join("_kept", " "))
+        kept.withColumn("compressed", F.col(given) if given else F.array_join("_kept", " "))
         .withColumn("tokens_original", F.size("_words").cast("long"))
         .withColumn("tokens_compressed", F.size("_kept").cast("long"))
         .drop("_words", "_kept")

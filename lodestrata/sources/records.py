@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as T
-from ..operators import corpus, splits
+from ..operators import corpus, ledger, splits
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
@@ -26,8 +26,19 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], schema: str) -
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
+def read_ordered(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """The same with `pos`, which sorts by file (in the order given) and place in the file. Files of any size are split: a row's place is its split's and its number in the split."""
+    rows = spark.read.schema(f"{schema}, {S.CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", S.CORRUPT).option("lineSep", "\n")
+    out = None
+    for k, p in enumerate(paths):
+        place = F.struct(F.lit(k).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        part = rows.json(p).select("*", F.col("_metadata.file_path").alias("file"), place.alias("pos"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def read_numbered(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
-    """The same for small files, with file ordinal, line number (from 1) and pos; blank lines are skipped."""
+    """The same for exam sets and other small files whose errors are told by line: with file ordinal, line number (from 1) and pos; blank lines are skipped."""
     out = None
     for k, p in enumerate(paths):
         lines = spark.read.text(p, wholetext=True).select(F.lit(k).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
@@ -84,11 +95,23 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return splits.last_of(rows, ["kind", "item", "level"], "pos")
 
 
-def replay_of_run(spark: SparkSession, metrics_path: str) -> DataFrame:
-    """(level, id, answers...) of an earlier run's metrics.json: levels exploded, then items."""
-    run = spark.read.option("multiLine", True).json(metrics_path)
-    levels = run.select(F.explode("metrics.levels").alias("l"))
-    return levels.select(F.col("l.aggressiveness").alias("level"), F.explode("l.items").alias("i")).select("level", "i.*")
+def read_journal_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct journal records of a folder that tasks append to; lines that do not parse are dropped. A call that a retried task made twice counts once."""
+    rows = spark.read.schema(S.JOURNAL).option("mode", "DROPMALFORMED").json(path).filter("item IS NOT NULL")
+    return rows.groupBy("kind", "item", "level", F.sha2("payload", 256).alias("_h")).agg(F.min(F.struct("payload", "answer", "scores", "served")).alias("r")).select("kind", "item", "level", "r.*")
+
+
+def run_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """An earlier run's items as journal records. Items whose levels disagree on the original side are an error."""
+    rows = spark.read.parquet(f"{folder}/items")
+    torn = ledger.conflicts(rows, "id", "original_answer", "original_scores").orderBy("id").first()
+    if torn:
+        raise ValueError(f"{folder}: {torn['id']} has {torn['versions']} different originals")
+    null = lambda kind: F.lit(None).cast(kind)
+    first = rows.groupBy("id").agg(F.min(F.struct("original_answer", "original_scores")).alias("r"))
+    originals = first.select(F.lit("original").alias("kind"), F.col("id").alias("item"), null("double").alias("level"), null("string").alias("payload"), F.col("r.original_answer").alias("answer"), F.col("r.original_scores").alias("scores"), null("string").alias("served"))
+    answers = rows.select(F.lit("answer").alias("kind"), F.col("id").alias("item"), "level", F.col("compressed").alias("payload"), "answer", "scores", "served")
+    return originals.unionByName(answers)
 
 
 def file_digests(spark: SparkSession, directory: str) -> DataFrame:
@@ -124,16 +147,41 @@ class RunConfig:
     vocabulary: str | None = None
     seed: int = 0
     resamples: int = 10_000
+    compressor_url: str | None = None
+    gateway_url: str | None = None
+    answer_model: str | None = None
+    judge_model: str | None = None
+    key_variable: str = "GATEWAY_SERVICE_KEY"
+    call_interval: float = 0.0
+    retries: int = 1
 
     def __post_init__(self) -> None:
         if not self.levels or any(isinstance(v, bool) or not 0 <= v <= 1 for v in self.levels) or len(set(self.levels)) < len(self.levels):
             raise ValueError("levels must be distinct numbers in [0, 1]")
         if isinstance(self.resamples, bool) or self.resamples < 1 or isinstance(self.seed, bool) or self.seed < 0:
             raise ValueError("resamples must be at least 1 and seed at least 0")
+        if self.gateway_url and not (self.answer_model and self.judge_model):
+            raise ValueError("a gateway needs an answer_model and a judge_model")
+        if self.call_interval < 0 or isinstance(self.retries, bool) or self.retries < 0:
+            raise ValueError("call_interval and retries must be at least 0")
+
+
+#: Tables of a configuration file and the settings that their keys are.
+TABLES = {
+    "compressor": {"url": "compressor_url"},
+    "gateway": {"url": "gateway_url", "answer_model": "answer_model", "judge_model": "judge_model", "key_variable": "key_variable", "call_interval": "call_interval", "retries": "retries"},
+}
 
 
 def read_config(path: str) -> RunConfig:
+    """Settings, some of them in tables [compressor] and [gateway]. Keys themselves are never in a file: key_variable names the environment's."""
     given = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+    for table, names in TABLES.items():
+        inner = given.pop(table, {})
+        unknown = set(inner) - set(names)
+        if unknown:
+            raise ValueError(f"{path}: unknown keys {sorted(f'{table}.{k}' for k in unknown)}")
+        given |= {names[k]: v for k, v in inner.items()}
     unknown = set(given) - {f.name for f in fields(RunConfig)}
     if unknown:
         raise ValueError(f"{path}: unknown keys {sorted(unknown)}")

@@ -69,15 +69,35 @@ def check_identity(manifest_path: str, identity: Mapping[str, object]) -> None:
             raise FileExistsError(f"{manifest_path} belongs to another run: {', '.join(different)} differ")
 
 
-def write_run(root: str, run_id: str, metrics: dict, report: str) -> Path:
+def new_folder(root: str, name: str) -> Path:
     """A new run folder; an existing one is never touched."""
-    folder = Path(root) / run_id
+    folder = Path(root) / name
     folder.mkdir(parents=True, exist_ok=False)
-    (folder / "report.md").write_text(report, encoding="utf-8")
-    write_json(folder / "metrics.json", metrics)
     return folder
 
 
+def write_report(folder: str | Path, values: Mapping, report: str, name: str = "metrics.json") -> None:
+    """report.md, then the values, which mark the folder as finished."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    (Path(folder) / "report.md").write_text(report, encoding="utf-8")
+    write_json(Path(folder) / name, values)
+
+
+def run_report(metrics: Mapping, levels: DataFrame) -> str:
+    """An evaluation as Markdown: provenance, then the levels."""
+    facts = {"exam": metrics["golden"]["sha256"], "items": metrics["golden"]["item_count"], "compressor": metrics["compressor"], "answers by": metrics["pins"]["answer_model"], "graded by": metrics["pins"]["judge_model"],
+             "served": ", ".join(metrics["served_models"]), "calls": f"{metrics['calls']['fresh']} fresh, {metrics['calls']['reused']} reused", "failures": metrics["failures"]}
+    warning = "" if metrics["served_as_pinned"] else "\n**Answers were served by another model than the one pinned.**\n"
+    return f"# Run {metrics['run_id']}\n\n" + "".join(f"* {k}: {v}\n" for k, v in facts.items()) + warning + f"\n{markdown_table(levels, ['level'])}"
+
+
+def distill_report(report: Mapping, counts: DataFrame) -> str:
+    """A distillation as Markdown: teacher, counts, thresholds, distributions."""
+    lines = [f"* teacher: {report['teacher']} (served: {', '.join(report['served_models'])})", f"* calls: {report['calls']}", f"* thresholds: {report['thresholds']}", f"* without words: {report['quarantined']}"]
+    shares = "".join(f"| {r['metric']} | {'kept' if r['kept'] else 'dropped'} | {r['p50']:.4f} | {r['p90']:.4f} | {r['p95']:.4f} | {r['mean']:.4f} |\n" for r in report["distributions"])
+    return "# Distillation\n\n" + "\n".join(lines) + f"\n\n{markdown_table(counts, ['load_type'])}\n| metric | rows | p50 | p90 | p95 | mean |\n| --- | --- | --- | --- | --- | --- |\n{shares}"
+
+
 def append_journal(df: DataFrame, path: str) -> None:
     """Records appended as JSON lines, a file a task: no lock is needed."""
     df.write.mode("append").json(path)

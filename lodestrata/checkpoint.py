@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder that spark.checkpoint.dir names (where it is unset, as in tests, a temporary one)."""
+    """`df`, computed once and kept in the folder that spark.checkpoint.dir names.
+
+    Where it is unset, a temporary folder serves local sessions, as in tests; a cluster's
+    executors would not share one, so there it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestrata-"))
     return df.checkpoint(eager=True)

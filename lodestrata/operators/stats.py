@@ -35,6 +35,17 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
     return joined.withColumn("rank", F.col("_above") + F.col("_r") - 1).drop("_b", "_r", "_above", "_gb", *[f"_g{k}" for k in range(len(groups))])
 
 
+def prefix_sums(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """`df` with `<column>_before`: the sum of whole numbers over all rows before, in that order; by ranges, like ranks."""
+    tagged = cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = tagged.groupBy("_b").agg(*[F.sum(c).alias(f"_s{k}") for k, c in enumerate(columns)])
+    sums = sums.select("_b", *[F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_e{k}") for k in range(len(columns))])
+    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = tagged.withColumns({f"_i{k}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in enumerate(columns)})
+    return within.join(sums, "_b").select(*df.columns, *[(F.col(f"_i{k}") + F.col(f"_e{k}")).alias(f"{c}_before") for k, c in enumerate(columns)])
+
+
 def percentiles(df: DataFrame, groups: list[str], value: str, points: Mapping[str, float]) -> DataFrame:
     """(groups, points): linear interpolation at rank p / 100 * (n - 1) of each group's values. Only ranks meet, no group's values; nulls do not count."""
     rows = ranked(df.select(*groups, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), groups, [F.col("_v")])

@@ -5,8 +5,8 @@ under a cap of `max_repeat` times the source's size, and each document is emitte
 floor(rate) times plus once more with probability equal to the fraction, by a
 draw that is a hash of seed and id: reruns and retries agree.
 
-Only the per-source totals (one row a source) meet in one place; documents are
-read twice and never shuffled. Defined results: a null text has size 0; a null
+Per-source totals (one row a source) are ranked over ranges; documents are read twice
+and not shuffled while the sources, which are counted, can be broadcast. Defined results: a null text has size 0; a null
 source is a source of its own, ordered last; sources without words get target 0;
 rows that repeat an id share its draw; very long texts count whole; a draw equal to the
 fraction takes no copy; an empty table gives an empty table; other columns are passed
@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACES, maybe_broadcast, quoted
+from ..operators.stats import prefix_sums, ranked
+from .common import BROADCAST_ROWS, NON_SPACES, cut, quoted
 
-WEIGHTS, MAX_REPEAT, SEED = (5, 2, 1), 3, "mix"
+WEIGHTS, MAX_REPEAT, SEED, SALTS = (5, 2, 1), 3, "mix", 16
 
 
 def n_words(text: Column) -> Column:
@@ -41,28 +42,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     Water-filling in closed form: with sources by cap/weight, the first k that
     reach their cap are those whose level, if they were left uncapped, is above
     it; the rest share what is left by weight. Integer prefix sums make it exact.
+    Ranks and prefix sums are taken over ranges, so that no task sees all sources.
     """
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("_r") - 1) % len(weights) + 1).cast("int"))
-    ranked = (
-        sizes.withColumn("_r", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-        .withColumn("_w", w.cast("long"))
-        .withColumn("_c", F.col("source_size") * max_repeat)
-    )
-    before = Window.orderBy(F.col("_c") / F.col("_w"), "_r").rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy()
-    level = (F.sum("source_size").over(all_) - F.coalesce(F.sum("_c").over(before), F.lit(0))).cast("double") / (
-        F.sum("_w").over(all_) - F.coalesce(F.sum("_w").over(before), F.lit(0))
-    ).cast("double")
-    return (
-        ranked.withColumn("_level", level)
-        .withColumn("_open", F.col("_level") <= F.col("_c") / F.col("_w"))
-        .withColumn("_lambda", F.min(F.when(F.col("_open"), F.struct(F.col("_c") / F.col("_w"), "_r", "_level"))).over(all_)["_level"])
-        .select(
-            "source",
-            "source_size",
-            F.coalesce(F.least(F.col("_c").cast("double"), F.col("_lambda") * F.col("_w").cast("double")), F.lit(0.0)).alias("target"),
-        )
-    )
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    by_name = ranked(sizes.select("source", "source_size"), [], [F.col("source").asc_nulls_last()])
+    weighed = by_name.select("source", "source_size", F.col("rank").alias("_r"), w.cast("long").alias("_w"), (F.col("source_size") * max_repeat).alias("_c")).withColumn("_k", F.col("_c") / F.col("_w"))
+    before = prefix_sums(weighed, [F.col("_k"), F.col("_r")], ["_c", "_w"])
+    sums = before.agg(F.sum("source_size").alias("_all"), F.sum("_w").alias("_weights"))  # one row
+    level = (F.col("_all") - F.col("_c_before")).cast("double") / (F.col("_weights") - F.col("_w_before")).cast("double")
+    levelled = cut(before.crossJoin(F.broadcast(sums)).withColumn("_level", level))
+    least = levelled.agg(F.min(F.when(F.col("_level") <= F.col("_k"), F.struct("_k", "_r", "_level"))).alias("_m"))  # one row
+    share = F.least(F.col("_c").cast("double"), F.col("_m._level") * F.col("_w").cast("double"))
+    return levelled.crossJoin(F.broadcast(least)).select("source", "source_size", F.coalesce(share, F.lit(0.0)).alias("target"))
 
 
 def plan_mix(
@@ -83,11 +74,14 @@ def plan_mix(
     n_sources = df.select(source_col).distinct().count()
     rate = F.when(F.col("__ls_source_size") > 0, F.col("__ls_target") / F.col("__ls_source_size").cast("double")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("long")
-    return (
-        sized.join(maybe_broadcast(targets, n_sources), F.col(source_col).eqNullSafe(F.col("__ls_source")))
-        .drop("__ls_source")
-        .withColumn("__ls_copies", copies)
-    )
+    same = F.col(source_col).eqNullSafe(F.col("__ls_source"))
+    if n_sources > BROADCAST_ROWS:  # too many to broadcast: a source of a third of all rows is dealt over the salts
+        targets = targets.withColumn("__ls_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn("__ls_own", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+        joined = sized.join(targets, same & (F.col("__ls_own") == F.col("__ls_salt"))).drop("__ls_own", "__ls_salt")
+    else:
+        joined = sized.join(F.broadcast(targets), same)
+    return joined.drop("__ls_source").withColumn("__ls_copies", copies)
 
 
 def emit_mix(df: DataFrame, **options) -> DataFrame:

@@ -117,24 +117,26 @@ def build_cascades(df: DataFrame, rules: Sequence[tuple[str, str, str]], url_col
     rates = {a: len(k) / (others * math.sqrt(2)) for a, k in keys.items()}
     while True:
         first = {a: Bloom(k, rates[a], 0) for a, k in keys.items()}
-        sent = df.sparkSession.sparkContext.broadcast((first, {a: frozenset(k) for a, k in keys.items()}))
+        sent = df.sparkSession.sparkContext.broadcast(first)
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            filters, listed = sent.value
+            filters = sent.value
             for b in batches:
                 found = {
                     (a, h + p)
                     for host_, path_ in zip(b["host"], b["path"])
                     for h, p in candidates(host_, path_, labels, lengths)
                     for a, f in filters.items()
-                    if h + p in f and h + p not in listed[a]
+                    if h + p in f
                 }
                 yield pd.DataFrame(sorted(found), columns=["list", "key"])
 
-        bound = 8 * len(rules) + 1000
-        false = urls.mapInPandas(search, "list string, key string").distinct().limit(bound + 1).collect()
-        if len(false) <= bound:
-            return {a: Cascade(first[a], k, sorted(r["key"] for r in false if r["list"] == a)) for a, k in keys.items()}
+        # the listed keys that occur come back too, and are taken off here: only filters are sent out
+        bound = 9 * len(rules) + 1000
+        passed = urls.mapInPandas(search, "list string, key string").distinct().limit(bound + 1).collect()
+        if len(passed) <= bound:
+            found = {a: {r["key"] for r in passed if r["list"] == a} for a in keys}
+            return {a: Cascade(first[a], k, sorted(found[a].difference(k))) for a, k in keys.items()}
         rates = {a: r / 16 for a, r in rates.items()}  # an unlucky level 1: make it larger, drop nothing
 
 

@@ -72,6 +72,13 @@ def test_url_filter_against_sql(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_of_repeated_and_long_urls(spark):
+    long = "https://www.example.com/en/7" + "x" * 200_000
+    rows = [(1, long), (1, long), (1, "https://a.org/es/"), (None, "https://" + "a." * 30_000 + "com/en/")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("verdict", F.lit("clash"))).collect()
+    assert sorted((str(r["page_id"]), r["rule"], r["verdict"], len(r["path"])) for r in got) == [("1", "example.com/en/7", "allow", 200_005), ("1", "example.com/en/7", "allow", 200_005), ("1", "org/es/", "block", 4), ("None", "com/en/", "block", 4)]
+
+
 def test_cascade_is_exact_for_the_universe():
     listed = [f"bad{i}.com/" for i in range(500)]
     others = [f"good{i}.com/" for i in range(20_000)]
@@ -165,6 +172,19 @@ def test_decontaminate_against_brute_force(spark, docs, monkeypatch, bound):
     assert decontaminate.contamination(d.limit(0), b).count() == 0
 
 
+def test_decontaminate_of_null_items_and_repeated_documents(spark, monkeypatch):
+    b = spark.createDataFrame([(None, "one two three"), (7, "two three four"), (7, "nine ten"), (8, None)], "item_id long, text string")
+    rows = [(1, "one two three four"), (1, "one two three four"), (1, "nine ten"), (None, "One TWO three"), (3, "none " * 50_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [("1", 2, 2, 1, sha("7")), ("1", 4, 4, 1, sha("7")), ("1", 4, 4, 1, sha("7")), ("3", 50_000, 0, 0, sha("")), ("None", 3, 3, 0, sha(""))]
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+        got = decontaminate.contamination(d, b).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == want
+        assert [r["doc_id"] for r in decontaminate.decontaminate(d, b).collect()] == [3]
+
+
 def test_decontaminate_keeps_columns(spark, docs):
     b = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     left = decontaminate.decontaminate(docs, b)
@@ -270,6 +290,85 @@ def test_ftrl_is_sparse_and_separates():
     assert (seen == 0).any() and not (w[56:] != 0).any()
 
 
+def plain_features(text, bits=langid.BITS):
+    """Counts of hashed n-grams of 1 to 3 characters, one by one, in Python's integers."""
+    import unicodedata
+
+    words, word = [], ""
+    for c in text.lower():
+        if unicodedata.category(c)[0] in "LM":
+            word += c
+        elif word:
+            words, word = [*words, word], ""
+    words = [*words, word] if word else words
+    if not any(unicodedata.category(c)[0] == "L" for w in words for c in w):
+        return None
+    line, m, k1, k2, k3 = [32, *(ord(c) for c in " ".join(words)), 32], 0xFFFFFFFF, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+    counts = Counter()
+    for i, a in enumerate(line):
+        if a != 32:
+            counts[(a * k1 & m) >> (32 - bits)] += 1
+        if i + 1 < len(line):
+            pair = (a * k2 & m) ^ ((line[i + 1] * k1 + 0x27D4EB2F) & m)
+            counts[(pair * k3 & m) >> (32 - bits)] += 1
+            if i + 2 < len(line):
+                three = (pair * k1 & m) ^ ((line[i + 2] * k3 + 0x165667B1) & m)
+                counts[(three * k2 & m) >> (32 - bits)] += 1
+    return counts
+
+
+def plain_ftrl(rows, classes, epochs, alpha=langid.ALPHA, beta=langid.BETA, l1=langid.L1, l2=langid.L2):
+    """FTRL-proximal, coordinate by coordinate."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        one, two = (0.0, 0.0) if key[0] == "bias" else (l1, l2)
+        return 0.0 if abs(z[key]) <= one else -(z[key] - math.copysign(one, z[key])) / ((beta + math.sqrt(n[key])) / alpha + two)
+
+    for epoch in range(epochs):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            index, x, y = rows[r]
+            features = [*zip(index.tolist(), x.tolist()), ("bias", 1.0)]
+            w = {(f, c): weight((f, c)) for f, _ in features for c in range(classes)}
+            logits = [sum(v * w[f, c] for f, v in features) for c in range(classes)]
+            top = max(logits)
+            p = [math.exp(v - top) for v in logits]
+            for c in range(classes):
+                g = p[c] / sum(p) - (c == y)
+                for f, v in features:
+                    key, grad = (f, c), g * v
+                    sigma = (math.sqrt(n[key] + grad * grad) - math.sqrt(n[key])) / alpha
+                    z[key] += grad - sigma * w[key]
+                    n[key] += grad * grad
+    return weight
+
+
+def test_langid_against_plain_python(spark):
+    texts = [("Hello, World! 12 ab", "en"), ("Él no está aquí", "es"), ("e\u0301te\u0301", "fr"), ("hello hello", "en"), ("das Haus", "de"), ("ein Haus ist da", "de"), ("la casa está", "es"), ("the world", "en"), ("le monde", "fr"), ("à la maison", "fr")]
+    for t, _ in [*texts, ("\u0301\u0302", None), ("123", None), ("", None)]:
+        got, want = langid.features(t), plain_features(t)
+        assert (got is None and want is None) or dict(zip(got[0].tolist(), got[1].tolist())) == want
+    d = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(d)
+    counts, df = [plain_features(t) for t, _ in texts], Counter()
+    for c in counts:
+        df.update(c.keys())
+    assert all(model.idf[f] == pytest.approx(math.log(11 / (1 + df[f])) + 1) for c in counts for f in c)
+    for (t, _), c in zip(texts, counts):
+        index, x = model.vector(langid.features(t))
+        raw = {f: (1 + math.log(k)) * model.idf[f] for f, k in c.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        assert dict(zip(index.tolist(), x.tolist())) == pytest.approx({f: v / norm for f, v in raw.items()})
+    rows = [(*model.vector(langid.features(t)), ["de", "en", "es", "fr"].index(y)) for t, y in texts]
+    w, b = langid.ftrl(rows, 1 << langid.BITS, 4, epochs=2)
+    plain = plain_ftrl(rows, 4, 2)
+    assert all(w[f, c] == pytest.approx(plain((f, c)), abs=1e-9) for r in rows for f in r[0].tolist() for c in range(4)) and b.tolist() == pytest.approx([plain(("bias", c)) for c in range(4)])
+    logits, y = np.random.default_rng(0).normal(size=(200, 3)) * 3, np.random.default_rng(1).integers(0, 3, 200)
+    loss = lambda t: -sum(z[k] / t - math.log(sum(math.exp(v / t) for v in z)) for z, k in zip(logits.tolist(), y.tolist()))
+    best = langid.calibrate(logits, y)
+    assert all(loss(best) <= loss(t) + 1e-9 for t in np.exp(np.linspace(math.log(0.25), math.log(20), 121)))
+
+
 # ---- op6
 
 def brute_line_dedup(rows, min_words=line_dedup.MIN_WORDS):
@@ -372,6 +471,37 @@ def test_crf_marginals_against_enumeration():
     assert good == pytest.approx(want) and steps == pytest.approx(want_steps) and z == pytest.approx(want_z)
 
 
+def test_crf_fit_finds_the_maximum():
+    """Lines of known features: what is counted is what plain loops count, and the fit's gradient vanishes."""
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(30), rng.integers(1, 5, 30))
+    own = np.stack([rng.integers(0, 4, len(doc)), np.where(rng.random(len(doc)) < 0.5, quality_crf.N_OWN - 1, -1)], axis=1).astype(np.int16)
+    x = quality_crf.Lines(doc, np.ones(len(doc)), own)
+    y = rng.random(len(doc))
+    want = np.zeros((3, quality_crf.N_OWN))
+    for i in range(len(doc)):
+        for f in own[i]:
+            if f >= 0:
+                want[0, f] += y[i]
+                if i + 1 < len(doc) and doc[i + 1] == doc[i]:
+                    want[1, f] += y[i + 1]
+                if i and doc[i - 1] == doc[i]:
+                    want[2, f] += y[i - 1]
+    assert quality_crf._counts(x, y) == pytest.approx(np.append(want.ravel(), y.sum()))
+    quality = rng.integers(0, 2, 30)
+    model = quality_crf.fit(x, quality, rounds=0, steps=4000)
+    theta = np.concatenate([model.unary, model.pair.ravel()])
+
+    def objective(theta):
+        good = (quality[doc] == 1).astype(float)
+        score, pair = quality_crf.potentials(x, theta[:-4]), theta[-4:].reshape(2, 2)
+        steps = sum(pair[int(good[i]), int(good[i + 1])] for i in range(len(doc) - 1) if doc[i] == doc[i + 1])
+        return quality_crf.marginals(x, score, pair)[2] - float(score @ good) - steps + (theta**2).sum()
+
+    least = objective(theta)
+    assert all(objective(theta + 0.05 * rng.normal(size=len(theta))) > least for _ in range(20))
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality_crf.op7_quality_crf(spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out").collect()
@@ -418,6 +548,13 @@ def test_targets_against_resharing(spark):
     assert got == pytest.approx(capped | share)
 
 
+def test_mixing_of_more_sources_than_are_broadcast(docs, monkeypatch):
+    plan = lambda: sorted(map(str, mixing.plan_mix(docs.select("doc_id", "text", "source")).collect()))
+    want = plan()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert plan() == want
+
+
 def test_taken_comes_near_targets(spark):
     source = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source")
     rows = mixing.op8_mixing(spark, "/root/testdata/sf0.1").join(source, "doc_id").groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
@@ -462,6 +599,13 @@ def test_simhash_against_brute_force(spark, docs, empty, max_bucket):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_dedup(empty).count() == 0
 
 
+def test_simhash_of_a_hot_fingerprint(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 2)
+    rows = [(r[0], r[1]) for r in DOCS] + [(500 + i, None) for i in range(20)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == brute_simhash(rows)
+
+
 def test_near_dedup_keeps_one_of_each_component(docs):
     want = {c for *_, c in brute_simhash([(r[0], r[1]) for r in DOCS])}
     left = simhash.near_dedup(docs)

@@ -51,12 +51,14 @@ def parser() -> argparse.ArgumentParser:
     add("golden-validate", files=("files", {"nargs": "+"}))
     add("golden-manifest", "--subsets", "--data-dir", "--out")
     add("golden-build", "--manifest", "--data-dir", "--counts", "--out", seed=("--seed", {"type": int, "default": 1}), low=("--min-tokens", {"type": int, "default": 500}), high=("--max-tokens", {"type": int, "default": 4000}), counter=("--counter", {"default": "whitespace"}), vocabulary=("--vocabulary", {}), pattern=("--pattern", {}))
-    add("golden-build-synthetic", "--seeds", "--out")
-    add("golden-manifest-synthetic", "--review-status", "--reviewer", "--out", golden=("--golden", many), notes=("--review-notes", {"default": ""}))
-    add("corpus-validate-synthetic", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}))
-    add("corpus-build", "--manifest", "--data-dir", "--out", "--out-manifest")
+    fams = ("--families", {})
+    add("eval-compare", "--first", "--second", "--out", resamples=("--resamples", {"type": int, "default": 10_000}))
+    add("golden-build-synthetic", "--seeds", "--out", families=fams)
+    add("golden-manifest-synthetic", "--review-status", "--reviewer", "--out", golden=("--golden", many), notes=("--review-notes", {"default": ""}), families=fams)
+    add("corpus-validate-synthetic", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}), families=fams)
+    add("corpus-build", "--manifest", "--data-dir", "--out", "--out-manifest", golden=("--check-golden", {"nargs": "*"}), parts=("--parts", {"action": "store_true"}))
     add("corpus-validate", "--manifest", files=("files", {"nargs": "+"}), golden=("--golden", {"nargs": "*", "default": []}))
-    add("corpus-build-synthetic", "--targets", "--out", "--out-manifest", golden=("--golden", {"nargs": "*", "default": []}))
+    add("corpus-build-synthetic", "--targets", "--out", "--out-manifest", golden=("--golden", {"nargs": "*", "default": []}), families=fams)
     add("distill-run", "--chunk-budget", "--out", corpus=("--corpus", many), window=("--window-size", {"type": int, "default": 150}), cap=("--max-chunk-tokens", {"type": int, "default": 512}), vr=("--vr-drop-fraction", {"type": float, "default": 0.05}), ag=("--ag-drop-fraction", {"type": float, "default": 0.10}), journal=("--journal", {}), url=("--gateway-url", {}), teacher=("--teacher-model", {}), interval=("--call-interval", {"type": float, "default": 0.0}), frozen=("--corpus-manifest", {}))
     add("train-windows", "--dataset", "--out", n=("--max-seq-len", {"type": int, "default": 512}))
     add("delivery-verify", "--checkpoint", report=("--report", {}))
@@ -78,6 +80,8 @@ def run(a: argparse.Namespace) -> object:
     load = lambda path: json.loads(Path(path).read_text(encoding="utf-8"))
     if a.command == "eval-run":
         return str(runs.evaluate_run(spark, records.read_config(a.config), a.golden, a.out, a.run_id, a.expect_golden_sha, a.resume_from, a.journal))
+    if a.command == "eval-compare":
+        return runs.compare(spark, a.first, a.second, a.out, a.resamples)
     if a.command == "eval-sizing":
         rows = spark.read.parquet(f"{a.run}/items").filter((F.col("level") == float(a.level)) & F.col("delta").isNotNull())
         if rows.isEmpty():
@@ -92,7 +96,7 @@ def run(a: argparse.Namespace) -> object:
         elif a.command == "corpus-validate":
             found = jobs.corpus_problems(spark, a.files, load(a.manifest), a.golden)
         else:
-            found = jobs.synthetic_problems(spark, a.files, a.golden)
+            found = jobs.synthetic_problems(spark, a.files, a.golden, a.families)
         lines = [f"{r['id']}: {r['error']}" for r in found.orderBy("id", "error").collect()]
         if lines:
             raise ValueError("\n".join(lines))
@@ -102,13 +106,14 @@ def run(a: argparse.Namespace) -> object:
     if a.command == "golden-build":
         return jobs.build_exam(spark, load(a.manifest), a.data_dir, pairs(a.counts), a.seed, a.out, counters.build(a.counter, a.vocabulary, a.pattern), a.min_tokens, a.max_tokens)
     if a.command == "golden-build-synthetic":
-        return jobs.build_synthetic_exam(spark, lists(a.seeds), a.out)
+        return jobs.build_synthetic_exam(spark, lists(a.seeds), a.out, a.families)
     if a.command == "golden-manifest-synthetic":
-        return jobs.synthetic_exam_manifest(spark, a.golden, a.out, {"status": a.review_status, "reviewer": a.reviewer, "notes": a.review_notes})
+        return jobs.synthetic_exam_manifest(spark, a.golden, a.out, {"status": a.review_status, "reviewer": a.reviewer, "notes": a.review_notes}, a.families)
     if a.command == "corpus-build":
-        return jobs.build_corpus(spark, load(a.manifest), a.data_dir, a.out, a.out_manifest)
+        where = (spark, load(a.manifest), a.data_dir, a.out, a.out_manifest)
+        return jobs.build_corpus(*where, parts=a.parts) if a.check_golden is None else jobs.build_valid_corpus(*where, a.check_golden, parts=a.parts)
     if a.command == "corpus-build-synthetic":
-        return jobs.build_synthetic(spark, pairs(a.targets), a.golden, a.out, a.out_manifest)
+        return jobs.build_synthetic(spark, pairs(a.targets), a.golden, a.out, a.out_manifest, a.families)
     if a.command == "distill-run":
         if bool(a.gateway_url) != bool(a.teacher_model):
             raise ValueError("--gateway-url and --teacher-model go together")

@@ -150,6 +150,12 @@ def split_judge_prompt(prompt: Column) -> Column:
     return F.when(prompt.rlike(JUDGE_TASK), F.struct(points.alias("key_points"), part(3).alias("answer")))
 
 
+def stub_reply(prompt: Column, model: str) -> Column:
+    """What the stand-in model says: the mechanical grades of a judge's task, else the prompt behind its own name."""
+    graded = lambda task: judge_reply(task["key_points"], task["answer"])
+    return F.when(prompt.rlike(JUDGE_TASK), let(split_judge_prompt(prompt), graded)).otherwise(F.concat(F.lit(f"[stub:{model}] "), prompt))
+
+
 def mean_score(scores: Column) -> Column:
     """Mean of 0/1 scores; 0 without any."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, s: a + s.cast("double"))
@@ -232,7 +238,7 @@ TASKS = {
     "dialogue": "Continue the conversation below with the assistant's next turn.",
 }
 #: Own wording, by prompt kind; the summary needs no question.
-PROMPTS = {"answer": "Passage:\n{context}\n\nQuestion: {question}\nAnswer:", "summary": "Report:\n{context}\n\nSummary:"}
+PROMPTS = {"answer": "Passage:\n{context}\n\nQuestion: {question}\nAnswer:", "summary": "Report:\n{context}\n\nSummary:", "lookup": "Records:\n{context}\n\nFind: {question}\nFound:"}
 
 
 def task_prompt(load_type: Column, payload: Column) -> Column:

@@ -58,8 +58,8 @@ def verified_half(spark: SparkSession, manifest: Mapping, data_dir: str, half: s
     return splits.first_of(chosen, ["subset", "fp"], [F.col("pos")])
 
 
-def build_corpus(spark: SparkSession, manifest: Mapping, data_dir: str, out: str, out_manifest: str, dataset: str = "source", kind: str = "answer") -> dict:
-    """Training rows of the subsets that may be trained on, in order of subset and fingerprint."""
+def build_corpus(spark: SparkSession, manifest: Mapping, data_dir: str, out: str, out_manifest: str, dataset: str = "source", kind: str = "answer", parts: bool = False) -> dict:
+    """Training rows of the subsets that may be trained on, in order of subset and fingerprint: one file, or a folder of `parts`."""
     allowed = [s["name"] for s in manifest["subsets"] if s["train_use"]]
     if not allowed:
         raise ValueError("no subset may be trained on")
@@ -67,7 +67,16 @@ def build_corpus(spark: SparkSession, manifest: Mapping, data_dir: str, out: str
     rows = rows.withColumn("prompt", T.render_prompt(F.lit(kind), F.col("context"), F.col("question")))
     licenses = F.create_map(*[F.lit(x) for s in manifest["subsets"] for x in (s["name"], s["license"])])
     entries = corpus.build_entries(rows, dataset, "").withColumn("source", F.col("source").withField("license", F.element_at(licenses, F.col("source.subset"))))
-    return sinks.write_corpus(entries, out, out_manifest, ["source.subset", "source.content_sha1"], excluded=[s["name"] for s in manifest["subsets"] if not s["train_use"]])
+    return sinks.write_corpus(entries, out, out_manifest, ["source.subset", "source.content_sha1"], parts=parts, excluded=[s["name"] for s in manifest["subsets"] if not s["train_use"]])
+
+
+def build_valid_corpus(spark: SparkSession, manifest: Mapping, data_dir: str, out: str, out_manifest: str, golden: Sequence[str], **options) -> dict:
+    """Builds a corpus and validates what was written against the manifest and the exams; with problems it is an error."""
+    made = build_corpus(spark, manifest, data_dir, out, out_manifest, **options)
+    wrong = corpus_problems(spark, [out], manifest, golden).orderBy("id", "error").limit(10).collect()
+    if wrong:
+        raise ValueError("\n".join(f"{r['id']}: {r['error']}" for r in wrong))
+    return made
 
 
 def build_exam(spark: SparkSession, manifest: Mapping, data_dir: str, counts: Mapping[str, int], seed: int, out: str, counter: counters.Counter | None = None, low: int = 500, high: int = 4000, kind: str = "answer") -> int:
@@ -78,11 +87,14 @@ def build_exam(spark: SparkSession, manifest: Mapping, data_dir: str, counts: Ma
     count = counter or counters.whitespace()
     rows = verified_half(spark, manifest, data_dir, splits.EVAL).withColumn("prompt", T.render_prompt(F.lit(kind), F.col("context"), F.col("question")))
     fit = corpus.in_band(rows.withColumn("n", count(F.col("prompt"))), "n", low, high, "answers")
+    # every row that is picked is of the eval half
     picked = reduce(DataFrame.unionByName, [splits.sample_per_subset(fit.filter(F.col("subset") == s), k, seed) for s, k in counts.items()])
     have = {r["subset"]: r["count"] for r in picked.groupBy("subset").count().collect()}
     short = [s for s, k in counts.items() if have.get(s, 0) < k]
     if short:
         raise ValueError(f"too few candidates in {short}")
+    if not splits.outside(picked, rows).isEmpty():
+        raise ValueError("the sample has rows that are not of the eval half")
     source = F.struct(F.lit("source").alias("dataset"), "subset", F.lit("eval").alias("split"), F.col("fp").alias("content_sha1"), F.filter("answers", lambda a: F.trim(a) != "").alias("answers"))
     exam = picked.select(F.concat_ws("-", F.lit("rag"), "subset", F.substring("fp", 1, 8)).alias("id"), F.lit("rag").alias("load_type"), "prompt", T.key_points(F.col("answers")).alias("key_points"), source.alias("source"))
     return sinks.write_lines(exam, out, ["source.subset", "source.content_sha1"])
@@ -104,13 +116,13 @@ def corpus_problems(spark: SparkSession, paths: Sequence[str], manifest: Mapping
     return out
 
 
-def build_synthetic(spark: SparkSession, targets: Mapping[str, int], golden: Sequence[str], out: str, out_manifest: str) -> dict:
-    """Synthetic training rows by the seed plan, in order of class, family and seed."""
-    fams = synth.families(spark)
+def build_synthetic(spark: SparkSession, targets: Mapping[str, int], golden: Sequence[str], out: str, out_manifest: str, families: str | None = None) -> dict:
+    """Synthetic training rows by the seed plan, in order of class, family and seed. The manifest counts rows by family and gives the mix."""
+    fams = records.read_families(spark, families)
     exam = synth.render(synth.candidates(fams, "eval_lo", "eval_hi")).select("fp")
     if golden:
         exam = exam.unionByName(records.read_numbered(spark, golden, S.GOLDEN).select(F.sha1("prompt").alias("fp")))
-    unknown = set(targets) - {f[1] for f in synth.FAMILIES}
+    unknown = set(targets) - {r[0] for r in fams.select("load_type").distinct().collect()}
     if unknown:
         raise ValueError(f"targets name unknown classes {sorted(unknown)}")
     plan = synth.seed_plan(synth.render(synth.candidates(fams, "train_lo", "train_hi")), dict(targets), exam)
@@ -118,22 +130,24 @@ def build_synthetic(spark: SparkSession, targets: Mapping[str, int], golden: Seq
     short = [c for c, n in targets.items() if have.get(c, 0) < n]
     if short:
         raise ValueError(f"targets cannot be reached for {short}")
-    source = F.struct(F.lit("synthetic").alias("dataset"), F.col("family").alias("subset"), F.lit("public").alias("license"), F.lit("train").alias("split"), F.col("fp").alias("content_sha1"), "family", "seed")
+    source = F.struct(F.lit("synthetic").alias("dataset"), F.col("family").alias("subset"), "license", F.lit("train").alias("split"), F.col("fp").alias("content_sha1"), "family", "seed")
     entries = plan.select(F.concat_ws("-", F.lit("train"), "family", "seed").alias("id"), "load_type", "prompt", F.lit("").alias("question"), F.lit("").alias("task"), source.alias("source"), "family_ord")
-    return sinks.write_corpus(entries.drop("family_ord"), out, out_manifest, ["load_type", "source.family", "source.seed"], targets=dict(targets))
+    by_family = {r["family"]: r["count"] for r in plan.groupBy("family").count().collect()}
+    mix = {r["load_type"]: round(r["pct"], 4) for r in corpus.mix_percent(plan.select("load_type")).collect()}
+    return sinks.write_corpus(entries.drop("family_ord"), out, out_manifest, ["load_type", "source.family", "source.seed"], targets=dict(targets), families=by_family, mix_percent=mix)
 
 
-def build_synthetic_exam(spark: SparkSession, seeds: Mapping[str, Sequence[int]], out: str) -> int:
+def build_synthetic_exam(spark: SparkSession, seeds: Mapping[str, Sequence[int]], out: str, families: str | None = None) -> int:
     """Exam rows of {family: seeds}, in order of family and seed."""
-    rows = synth.exam_rows(synth.families(spark), seeds)
-    source = F.struct(F.lit("synthetic").alias("dataset"), F.col("family").alias("subset"), F.lit("public").alias("license"), F.lit("eval").alias("split"), F.col("fp").alias("content_sha1"), "family", "seed")
+    rows = synth.exam_rows(records.read_families(spark, families), seeds)
+    source = F.struct(F.lit("synthetic").alias("dataset"), F.col("family").alias("subset"), "license", F.lit("eval").alias("split"), F.col("fp").alias("content_sha1"), "family", "seed")
     exam = rows.select(F.concat_ws("-", F.lit("eval"), "family", "seed").alias("id"), "load_type", "prompt", "key_points", source.alias("source"))
     return sinks.write_lines(exam, out, ["source.family", "source.seed"])
 
 
-def synthetic_exam_manifest(spark: SparkSession, golden: Sequence[str], out: str, review: Mapping[str, str]) -> dict:
+def synthetic_exam_manifest(spark: SparkSession, golden: Sequence[str], out: str, review: Mapping[str, str], families: str | None = None) -> dict:
     """Families with their seed ranges and the exam's seeds of each, once every row is the one that its family and seed give."""
-    fams = synth.families(spark)
+    fams = records.read_families(spark, families)
     exam = records.read_golden(spark, golden).select("id", "load_type", "prompt", F.col("source.family").alias("family"), F.col("source.seed").alias("seed"))
     wrong = _synthetic_errors(exam, fams, "eval").orderBy("id", "error").first()
     if wrong:
@@ -155,10 +169,10 @@ def _synthetic_errors(rows: DataFrame, fams: DataFrame, side: str) -> DataFrame:
     return seeds.unionByName(prompts)
 
 
-def synthetic_problems(spark: SparkSession, paths: Sequence[str], golden: Sequence[str]) -> DataFrame:
+def synthetic_problems(spark: SparkSession, paths: Sequence[str], golden: Sequence[str], families: str | None = None) -> DataFrame:
     """(id, error) of synthetic corpus files: all that corpus_problems finds, with families as subsets, and seeds and prompts."""
-    fams = synth.families(spark)
-    known = [{"name": f[0], "license": "public", "train_use": True, "train_boundary_fingerprint": ""} for f in synth.FAMILIES]
+    fams = records.read_families(spark, families)
+    known = [{"name": r["family"], "license": r["license"], "train_use": r["train_use"], "train_boundary_fingerprint": ""} for r in fams.collect()]  # a row a family
     rows = records.read_corpus(spark, list(paths)).select("id", "load_type", "prompt", "source.family", "source.seed", F.col("source.content_sha1").alias("fp"))
     digests = rows.filter(~F.col("fp").eqNullSafe(F.sha1("prompt"))).select("id", F.lit("content_sha1 is not the prompt's").alias("error"))
     return corpus_problems(spark, paths, {"subsets": known}, golden).unionByName(_synthetic_errors(rows.drop("fp"), fams, "train")).unionByName(digests)
@@ -166,7 +180,11 @@ def synthetic_problems(spark: SparkSession, paths: Sequence[str], golden: Sequen
 
 def export_windows(spark: SparkSession, labeled: str, out: str, max_seq_len: int = 512) -> int:
     """Training windows of a labelled dataset as Parquet (training itself is left to a trainer)."""
-    rows = spark.read.parquet(labeled).select("id", "text", "tokens")
+    rows = spark.read.parquet(labeled)
+    wrong = records.labeled_errors(rows.withColumn("prompt", F.col("text"))).orderBy("id", "error").first()
+    if wrong:
+        raise ValueError(f"{wrong['id']}: {wrong['error']}")
+    rows = rows.select("id", "text", "tokens")
     packed = windows.windows(windows.align_labels(rows, "text", "tokens"), "subwords", max_seq_len)
     sinks.write_dataset(packed, out)
     return spark.read.parquet(out).count()

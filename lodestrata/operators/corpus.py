@@ -23,8 +23,9 @@ def build_entries(rows: DataFrame, dataset: str, license_: str) -> DataFrame:
 
 
 def registry_outcome(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Left join with a registry (subset, license, train_use, boundary): excluded, unknown or registered."""
-    known = registry.select("subset", F.col("license").alias("reg_license"), "train_use", "boundary")
+    """Left join with a registry (subset, license, train_use, boundary): excluded, unknown or registered. Reserved fields must be empty where the registry says so (`reserved_empty`), or says nothing."""
+    reserved = F.col("reserved_empty") if "reserved_empty" in registry.columns else F.lit(True)
+    known = registry.select("subset", F.col("license").alias("reg_license"), "train_use", "boundary", reserved.alias("reserved_empty"))
     joined = rows.join(known, "subset", "left")
     state = F.when(F.col("train_use").isNull(), "unknown").when(~F.col("train_use"), "excluded").otherwise("registered")
     return joined.withColumn("outcome", state)
@@ -43,7 +44,7 @@ def row_errors(denied: Sequence[str] = ("meetingbank",), split: str = "train") -
         (F.col("outcome") == "excluded", "subset must not be trained on"),
         (F.col("license") != F.col("reg_license"), "license differs from the registry"),
         ((F.col("outcome") == "registered") & ~F.coalesce(F.col("fp") >= F.col("boundary"), F.lit(False)), "fingerprint is not in the train half"),
-        (F.col("question") != "", "question must be empty"),
+        (F.coalesce(F.col("reserved_empty"), F.lit(True)) & (F.col("question") != ""), "question must be empty"),
     )
 
 

@@ -63,3 +63,8 @@ def overlap(train: DataFrame, golden: DataFrame, fp: str = "fp") -> DataFrame:
 
 def without(train: DataFrame, golden: DataFrame, fp: str = "fp") -> DataFrame:
     return train.join(golden.select(fp).distinct(), fp, "left_anti")
+
+
+def outside(sample: DataFrame, whole: DataFrame) -> DataFrame:
+    """(subset, fp) of sampled rows that the whole does not have: must be empty."""
+    return sample.select("subset", "fp").exceptAll(whole.select("subset", "fp"))

@@ -134,3 +134,13 @@ def epoch_order(rows: DataFrame, epochs: int, seed: int, key: str) -> DataFrame:
 def batches(ordered: DataFrame, size: int, labels: str = "labels", cls: int = 101, sep: int = 102, pad: int = 0) -> DataFrame:
     """Rows in order -> (epoch, batch, width): each padded to its batch's largest window plus two."""
     return ordered.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int")).withColumn("width", F.max(F.size(labels)).over(Window.partitionBy("epoch", "batch")) + 2)
+
+
+def padded(batched: DataFrame, labels: str = "labels", ignore: int = -100) -> DataFrame:
+    """`batched` with targets and mask of its batch's width: the labels between two ignored places (the first and last token), then ignored padding; the mask is 1 up to the last token."""
+    rest = F.col("width") - F.size(labels) - 2
+    hidden = F.array(F.lit(ignore))
+    return batched.withColumns({
+        "targets": F.concat(hidden, F.col(labels).cast("array<int>"), hidden, F.array_repeat(F.lit(ignore), rest)),
+        "mask": F.concat(F.array_repeat(F.lit(1), F.size(labels) + 2), F.array_repeat(F.lit(0), rest)),
+    })

@@ -13,6 +13,7 @@ from ..checkpoint import cut
 from ..functions import text as T
 from ..operators import corpus, distill, evaluate, ledger, splits, stats, synth, windows
 from ..partitions import spread
+from ..sources import records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -164,12 +165,22 @@ def task_prompts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.task_prompt(kind, F.col("text"))).alias("prompt_md5"))
 
 
-@query("SELECT conv_id, turn, md5(CASE WHEN role = 'user' THEN replace(replace(" + lit(T.PROMPTS["answer"]) + ", '{question}', role), '{context}', text) ELSE replace(" + lit(T.PROMPTS["summary"]) + ", '{context}', text) END) AS prompt_md5 FROM conversations")
+@query("SELECT conv_id, turn, md5(CASE role WHEN 'user' THEN replace(replace(" + lit(T.PROMPTS["answer"]) + ", '{question}', role), '{context}', text) WHEN 'assistant' THEN replace(replace(" + lit(T.PROMPTS["lookup"]) + ", '{question}', role), '{context}', text) ELSE replace(" + lit(T.PROMPTS["summary"]) + ", '{context}', text) END) AS prompt_md5 FROM conversations")
 def rendered_prompts(spark, d):
-    kind = F.when(F.col("role") == "user", "answer").otherwise("summary")
+    kind = F.when(F.col("role") == "user", "answer").when(F.col("role") == "assistant", "lookup").otherwise("summary")
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.render_prompt(kind, F.col("text"), F.col("role"))).alias("prompt_md5"))
 
 
+@query(f"""WITH p AS (SELECT conv_id, turn, text, substr(text, 1, 60) AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '{{"scores":[' || (len(list_filter({significant('p')}, lambda x: NOT list_contains({significant('text')}, x))) = 0)::INT || ',0]}}' ELSE md5('[stub:m] ' || text) END AS reply FROM p""")
+def stub_replies(spark, d):
+    """Even turns are a judge's task over the turn's own start and a point that nothing covers, odd ones a plain prompt."""
+    points = F.array(F.substring("text", 1, 60), F.lit("zzz qqq"))
+    prompt = F.when(F.col("turn") % 2 == 0, T.judge_prompt(points, F.col("text"))).otherwise(F.col("text"))
+    reply = T.stub_reply(prompt, "m")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, reply).otherwise(F.md5(reply)).alias("reply"))
+
+
 # ---- splits
 
 @query(f"WITH {SPLIT} SELECT subset, fp, rank, n, half FROM sp")
@@ -223,6 +234,13 @@ def sample_per_subset(spark, d):
     return splits.sample_per_subset(halves(spark, d).filter("half = 'eval'").select("subset", "fp", "doc_id"), 5, 17)
 
 
+@query(f"WITH {HALVES}, s AS (SELECT subset, fp FROM hv WHERE half = 'eval' QUALIFY row_number() OVER (PARTITION BY subset ORDER BY sha256('17:' || fp), fp) <= 5) SELECT subset, fp FROM s EXCEPT ALL SELECT subset, fp FROM hv WHERE half = 'eval' AND substr(fp, 1, 1) < '8'")
+def sample_outside(spark, d):
+    """Sampled rows that are not among the eval rows of the first half of fingerprints."""
+    h = halves(spark, d).filter("half = 'eval'").select("subset", "fp")
+    return splits.outside(splits.sample_per_subset(h, 5, 17), h.filter("fp < '8'"))
+
+
 # ---- corpus
 
 @query(f"WITH {HALVES} SELECT 'train-' || subset || '-' || substr(fp, 1, 8) AS id, 'rag' AS load_type, md5(text) AS prompt_md5, '' AS question, subset, 'train' AS split, fp AS content_sha1 FROM hv WHERE half = 'train'")
@@ -440,10 +458,13 @@ def task_quality_by_lang(spark, d):
     return quality_rows(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 9).alias(f"mean_{c}") for c in ("original", "compressed", "delta")])
 
 
-@query("""WITH r AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'noise {"scores": [1, 0, 1]} tail' WHEN 'system' THEN '{"scores": [1, true, 0]}' ELSE '{"scores": [1, 0]}' END AS reply FROM conversations)
-SELECT conv_id, turn, CASE WHEN reply LIKE 'noise%' THEN '1,0,1' END AS scores FROM r""")
+@query("""WITH r AS (SELECT conv_id, turn, length(text) % 3 AS a, length(text) % 2 AS b, turn % 4 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k < 2 AND a < 2 THEN a || ',' || b || ',1' END AS scores FROM r""")
 def judge_parse(spark, d):
-    reply = F.when(F.col("role") == "user", 'noise {"scores": [1, 0, 1]} tail').when(F.col("role") == "system", '{"scores": [1, true, 0]}').otherwise('{"scores": [1, 0]}')
+    """Replies that quote the turn before their grades; some have a grade of 2, a boolean, or one grade too few."""
+    grades = F.concat_ws(",", (F.char_length("text") % 3).cast("string"), (F.char_length("text") % 2).cast("string"), F.when(F.col("turn") % 4 == 2, "true").when(F.col("turn") % 4 < 2, "1"))
+    quoted_ = F.translate("text", "{}", "()")
+    reply = F.concat(quoted_, F.lit(' {"scores": ['), grades, F.lit("]} "), quoted_)
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.parse_judge(reply, F.lit(3)), ",").alias("scores"))
 
 
@@ -455,6 +476,9 @@ def paired_run_diff(spark, d):
 
 # ---- ledger
 
+TILES_SQL = f"tl AS (SELECT doc_id, lang, text, list_filter(regexp_extract_all(text, {lit(T.TILE)}), lambda x: x <> '') AS t FROM documents)"
+
+
 def calls(spark, d):
     """Items to answer, replayed from the calls recorded for English ones; turns of a role are one payload key."""
     items = table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("payload"))
@@ -475,6 +499,40 @@ def call_accounting(spark, d):
     return ledger.accounting(calls(spark, d), "lang")
 
 
+def _journal(spark, d):
+    """Calls as a run wants them (originals, answers at two levels) and a journal that has some, some of these for another payload or without one."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item"), "lang", F.col("text").alias("payload"), "doc_id")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).cast("double").alias("level")) for k, v in (("original", None), ("answer", 0.2), ("answer", 0.4))])
+    wanted = t.select("item", "payload", "doc_id", "lang", F.explode(kinds).alias("k")).select("k.kind", "item", "k.level", "payload", "doc_id", "lang")
+    kept = wanted.filter((F.col("doc_id") % 3 != 0) & ((F.col("kind") == "original") | (F.col("level") < 0.3)))
+    payload = F.when(F.col("doc_id") % 3 == 1, F.when(F.col("kind") == "original", F.lit(None)).otherwise(F.concat("payload", F.lit("?")))).otherwise(F.col("payload"))
+    journal = kept.select("kind", "item", "level", payload.alias("payload"), F.concat("kind", F.lit(" of "), "item").alias("answer"), F.array(F.lit(1)).alias("scores"), F.lit("m").alias("served"))
+    return wanted, journal
+
+
+@query("""WITH k(kind, level) AS (VALUES ('original', NULL::DOUBLE), ('answer', 0.2::DOUBLE), ('answer', 0.4::DOUBLE))
+SELECT doc_id, kind, level, CASE WHEN doc_id % 3 <> 0 AND (kind = 'original' OR level < 0.3 AND doc_id % 3 = 2) THEN kind || ' of ' || doc_id END AS answer FROM documents, k""")
+def journal_answers(spark, d):
+    wanted, journal = _journal(spark, d)
+    return ledger.found(wanted, journal).select("doc_id", "kind", "level", "answer")
+
+
+@query("""WITH k(kind, level) AS (VALUES ('original', NULL::DOUBLE), ('answer', 0.2::DOUBLE), ('answer', 0.4::DOUBLE))
+SELECT kind, level, count(*) AS n FROM documents, k WHERE NOT (doc_id % 3 <> 0 AND (kind = 'original' OR level < 0.3 AND doc_id % 3 = 2)) GROUP BY ALL""")
+def journal_misses(spark, d):
+    return ledger.misses(*_journal(spark, d)).groupBy("kind", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {TILES_SQL}, e AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS index FROM tl) SELECT doc_id, index::BIGINT AS index, CASE WHEN index % 2 = 1 AND doc_id % 5 <> 0 THEN md5(x) END AS answer FROM e")
+def chunk_resume(spark, d):
+    """Sentences as chunk jobs `<id>#c<index>`, of which a journal has the odd ones; those of every fifth document were recorded for another text."""
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentence_tiles(F.col("text"))).alias("index", "payload"))
+    wanted = t.select(F.lit("chunk").alias("kind"), F.concat(F.col("doc_id").cast("string"), F.lit("#c"), F.col("index").cast("string")).alias("item"), F.lit(None).cast("double").alias("level"), "payload", "doc_id", F.col("index").cast("long").alias("index"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    journal = wanted.filter("index % 2 = 1").select("kind", "item", "level", changed.alias("payload"), F.md5("payload").alias("answer"), F.array().cast("array<int>").alias("scores"), F.lit("m").alias("served"))
+    return ledger.found(wanted, journal).select("doc_id", "index", "answer")
+
+
 @query(f"WITH {SRC} SELECT fp, count(DISTINCT (lang, subset)) AS versions FROM src GROUP BY fp HAVING versions > 1")
 def replay_conflicts(spark, d):
     return ledger.conflicts(source_rows(spark, d), "fp", "lang", "subset")
@@ -488,7 +546,7 @@ def served_models(spark, d):
 # ---- distillation
 
 CAP = 64
-TILES = f"tl AS (SELECT doc_id, lang, text, list_filter(regexp_extract_all(text, {lit(T.TILE)}), lambda x: x <> '') AS t FROM documents)"
+TILES = TILES_SQL
 COUNTS = TILES + f""", ct AS (SELECT doc_id, lang, coalesce(list_reduce(list_prepend({{'n': 0, 'used': 0}}, list_transform(t, lambda x: {{'n': -1, 'used': len(regexp_extract_all(x, '\\S+'))::INT}})),
   lambda a, e: CASE WHEN a.n > 0 AND a.used + e.used <= {CAP} THEN {{'n': a.n, 'used': (a.used + e.used)::INT}}
     ELSE {{'n': (a.n + greatest(1, ceil(e.used / {CAP}.0::DOUBLE)))::INT, 'used': (CASE WHEN e.used > 0 THEN (e.used - 1) % {CAP} + 1 ELSE 0 END)::INT}} END).n, 0)::BIGINT AS n_chunks FROM tl)"""
@@ -593,6 +651,11 @@ def qc_keep(spark, d):
     return controlled(spark, d).select("doc_id", "dropped_by")
 
 
+@query(f"WITH {QC} SELECT (SELECT max(variation_rate) FROM q1 WHERE NOT gone) AS variation_rate, (SELECT max(alignment_gap) FROM q2 WHERE NOT gone2) AS alignment_gap")
+def qc_thresholds(spark, d):
+    return controlled(spark, d).select("thresholds.*").limit(1)  # the same in every row
+
+
 @query(f"WITH {QC}, u AS (SELECT dropped_by IS NULL AS kept, metric, value FROM (UNPIVOT (SELECT dropped_by, variation_rate, alignment_gap, matching_rate FROM qc) ON variation_rate, alignment_gap, matching_rate INTO NAME metric VALUE value)) "
        "SELECT kept, metric, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.95) AS p95, round(avg(value), 9) AS mean FROM u GROUP BY ALL")
 def qc_distributions(spark, d):
@@ -610,10 +673,12 @@ def distill_counts(spark, d):
 
 # ---- synthetic prompts
 
-def _family_sql(k: int, family: str, load_type: str, template: str, slots: dict[str, list[str]], low: str, high: str) -> str:
-    text = lit(template)
+def _family_sql(k: int, family: str, load_type: str, template: str, slots: dict[str, list[str]], extra: str | None, low: str, high: str) -> str:
+    text, draw = lit(template), lambda name: f"('0x' || substr(sha256('{family}:' || seed || ':{name}'), 1, 8))::BIGINT"
+    if extra:
+        text = f"CASE WHEN {draw(synth.EXTRA)} % 2 = 1 THEN {lit(synth.spliced(template, extra))} ELSE {text} END"
     for slot, options in slots.items():
-        pick = f"([{', '.join(map(lit, options))}])[(('0x' || substr(sha256('{family}:' || seed || ':{slot}'), 1, 8))::BIGINT % {len(options)})::INT + 1]"
+        pick = f"([{', '.join(map(lit, options))}])[({draw(slot)} % {len(options)})::INT + 1]"
         text = f"replace({text}, '{{{slot}}}', {pick})"
     return f"SELECT {k} AS family_ord, '{family}' AS family, '{load_type}' AS load_type, seed, {text} AS prompt FROM range({low}, {high} + 1) t(seed)"
 
@@ -666,7 +731,7 @@ def range_disjointness(spark, d):
 @query(f"WITH {CLAIMED}, a AS ({_all_sql(95, 995)}), r AS (SELECT cm.*, CASE WHEN seed % 10 = 0 THEN prompt || ' ' ELSE prompt END AS p, prompt AS want FROM cm LEFT JOIN a USING (family, load_type, seed)) SELECT family, load_type, seed FROM r WHERE p IS DISTINCT FROM want")
 def regeneration_check(spark, d):
     fams = synth.families(spark)
-    rows = synth.render(claimed(spark).join(fams.select("family", "load_type", "template", "slots"), ["family", "load_type"], "left")).select("family", "load_type", "seed", "prompt")
+    rows = synth.render(claimed(spark).join(fams.select("family", "load_type", "template", "slots", "extra"), ["family", "load_type"], "left")).select("family", "load_type", "seed", "prompt")
     tampered = rows.withColumn("prompt", F.when(F.col("seed") % 10 == 0, F.concat("prompt", F.lit(" "))).otherwise(F.col("prompt")))
     return synth.regeneration_errors(tampered.filter("prompt IS NOT NULL"), fams).select("family", "load_type", F.col("seed").cast("long").alias("seed"))
 
@@ -719,3 +784,27 @@ def batch_widths(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("labels"))
     b = windows.batches(windows.epoch_order(c, 1, 5, "conv_id").join(c, "conv_id"), 8)
     return b.select("conv_id", F.col("batch").cast("long").alias("batch"), F.col("width").cast("long").alias("width"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(turn::INT ORDER BY turn) AS l FROM conversations GROUP BY conv_id), o AS (SELECT conv_id, l, row_number() OVER (ORDER BY sha256('5:' || conv_id), conv_id) AS place FROM c),
+b AS (SELECT conv_id, l, max(len(l)) OVER (PARTITION BY (place - 1) // 8) + 2 AS width FROM o)
+SELECT conv_id, array_to_string(list_concat(list_prepend(-100, l), list_transform(range(width - len(l) - 1), lambda x: -100)), ',') AS targets, (len(l) + 2)::BIGINT AS n_tokens FROM b""")
+def padded_batches(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("labels"))
+    p = windows.padded(windows.batches(windows.epoch_order(c, 1, 5, "conv_id").join(c, "conv_id"), 8))
+    ones = F.size(F.filter("mask", lambda m: m == 1)).cast("long")
+    return p.select("conv_id", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"), ones.alias("n_tokens"))
+
+
+LABELLED = "lb AS (SELECT conv_id, turn, length(text) AS n, conv_id % 2 AS swapped, turn % 3 AS keep FROM conversations)"
+
+
+@query(f"""WITH {LABELLED}, e AS (SELECT conv_id, turn, unnest(list_filter([CASE WHEN swapped = 1 AND n >= 8 THEN 'spans are out of order' END, CASE WHEN n < 8 THEN 'span is out of bounds' END, CASE WHEN keep = 2 THEN 'keep is not 0 or 1' END], lambda x: x IS NOT NULL)) AS error FROM lb)
+SELECT conv_id || '-' || turn AS id, error FROM e WHERE error <> 'x'""")
+def labeled_errors(spark, d):
+    """Turns with the spans [0, 3) and [4, 8), which are swapped for odd conversations and too long for short turns."""
+    t = table(spark, d, "conversations")
+    span = lambda a, b, keep: F.struct(F.lit("w").alias("text"), F.lit(a).alias("start"), F.lit(b).alias("end"), keep.cast("int").alias("keep"))
+    a, b = span(0, 3, F.lit(1)), span(4, 8, F.col("turn") % 3)
+    spans = F.when((F.col("conv_id") % 2 == 1) & (F.char_length("text") >= 8), F.array(b, a)).otherwise(F.array(a, b))
+    return records.labeled_errors(t.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("prompt"), spans.alias("tokens")))

@@ -252,6 +252,20 @@ def _per_file(rows: DataFrame, digests: Mapping[str, str]) -> list[tuple[str, st
     return [(f, h, counts.get(f, 0)) for f, h in sorted(digests.items())]
 
 
+def compare(spark: SparkSession, first: str, second: str, out: str, resamples: int = 10_000, seed: int = 0) -> dict:
+    """The second run's deltas less the first's, item by item at the levels that both have, with their intervals. Both must be of one exam."""
+    runs = [json.loads((Path(r) / "metrics.json").read_text(encoding="utf-8")) for r in (first, second)]
+    if runs[0]["golden"]["sha256"] != runs[1]["golden"]["sha256"]:
+        raise ValueError("the runs are of different exams")
+    sides = [spark.read.parquet(f"{r}/items").filter("delta IS NOT NULL") for r in (first, second)]
+    pairs = cut(evaluate.paired(sides[0], sides[1], ["level", "id"], "delta").withColumnRenamed("difference", "delta"))
+    levels = stats.bootstrap(pairs, "level", resamples=resamples, seed=seed)
+    found = {"schema_version": 1, "golden": runs[0]["golden"], "runs": [r["run_id"] for r in runs], "levels": [r.asDict() for r in levels.orderBy("level").collect()]}
+    report = f"# {found['runs'][1]} against {found['runs'][0]}\n\n{sinks.markdown_table(levels, ['level'])}"
+    sinks.write_report(out, found, report, name="comparison.json")
+    return found
+
+
 def freeze(paths: Sequence[str], pins: Mapping[str, object], out: str) -> dict:
     """The record of a frozen exam: its files in order, their digests, that of all bytes together, and what it was made with."""
     whole = sha256()

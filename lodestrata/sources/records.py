@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as T
-from ..operators import corpus, ledger, splits
+from ..operators import corpus, ledger, splits, synth
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
@@ -137,6 +137,13 @@ def read_registry(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.createDataFrame([tuple(e.get(c) for c in columns) for e in entries], columns)
 
 
+def read_families(spark: SparkSession, path: str | None) -> DataFrame:
+    """The scenario families of a TOML registry ([[family]] tables); the built-in ones without a path."""
+    if path is None:
+        return synth.families(spark)
+    return synth.registered(spark, tomllib.loads(Path(path).read_text(encoding="utf-8")).get("family", []), path)
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Settings of an evaluation; unknown keys are refused."""

@@ -50,12 +50,22 @@ def write_dataset(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
-def write_corpus(df: DataFrame, path: str, manifest_path: str, order: list[str], **facts: object) -> dict:
-    """A corpus file and its manifest, which pins the bytes and the counts by class and subset."""
-    n = write_lines(df, path, order)
+def write_parts(df: DataFrame, folder: str, order: list[str]) -> str:
+    """JSON lines in part files by ranges of the order, of any size, none of which passes the driver; the digest of the sorted part digests."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(folder)
+    parts = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0")
+    digests = parts.select(F.regexp_extract("path", r"(part-\d+)", 1).alias("part"), F.sha2("content", 256).alias("sha256")).orderBy("part").collect()  # a row a file
+    return hashlib.sha256("".join(f"{r['sha256']}\n" for r in digests).encode()).hexdigest()
+
+
+def write_corpus(df: DataFrame, path: str, manifest_path: str, order: list[str], parts: bool = False, **facts: object) -> dict:
+    """A corpus, as one file or as a folder of parts, and its manifest, which pins the bytes and the counts by class and subset."""
+    digest = write_parts(df, path, order) if parts else None
+    n = df.count() if parts else write_lines(df, path, order)
     counts = {r["load_type"]: r["count"] for r in df.groupBy("load_type").count().collect()}
     subsets = [r.asDict() for r in df.groupBy(F.col("source.subset").alias("subset")).agg(F.count(F.lit(1)).alias("entries")).orderBy("subset").collect()]
-    manifest = {"corpus": {"file": os.path.basename(path), "sha256": sha256_file(path), "entries": n, "load_types": counts}, "subsets": subsets, **facts}
+    manifest = {"corpus": {"file": os.path.basename(path), "sha256": digest or sha256_file(path), "entries": n, "load_types": counts}, "subsets": subsets, **facts}
     write_json(manifest_path, manifest)
     return manifest
 

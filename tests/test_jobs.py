@@ -32,6 +32,11 @@ def test_split_corpus_and_exam(spark, project):
     assert again["corpus"]["sha256"] == built["corpus"]["sha256"]
     assert jobs.build_exam(spark, m, str(project), {"alpha": 4, "beta": 2}, 3, str(project / "g.jsonl"), low=1) == 6
     assert jobs.corpus_problems(spark, [str(project / "c.jsonl")], m, [str(project / "g.jsonl")]).count() == 0
+    parts = jobs.build_valid_corpus(spark, m, str(project), str(project / "parts"), str(project / "pm.json"), [str(project / "g.jsonl")], parts=True)
+    assert parts["corpus"]["entries"] == 15 and sorted(r["value"] for r in spark.read.text(str(project / "parts")).collect()) == sorted((project / "c.jsonl").read_text().splitlines())
+    (project / "leak.jsonl").write_text((project / "c.jsonl").read_text())
+    with pytest.raises(ValueError, match="content is exam item"):
+        jobs.build_valid_corpus(spark, m, str(project), str(project / "c4.jsonl"), str(project / "cm4.json"), [str(project / "leak.jsonl")])
     row = json.loads((project / "c.jsonl").read_text().splitlines()[0])
     exam = json.loads((project / "g.jsonl").read_text().splitlines()[0])
     bad = [row | {"id": "x1", "load_type": "story"}, row | {"id": "x2", "prompt": ""}, row | {"id": "x3", "source": row["source"] | {"subset": "MeetingBank"}}, row | {"id": "x4", "source": row["source"] | {"content_sha1": exam["source"]["content_sha1"]}}]
@@ -88,6 +93,13 @@ def test_eval_run_and_sizing(spark, tmp_path, capsys):
     assert json.loads((fourth / "metrics.json").read_text())["calls"] == {"fresh": 0, "reused": 18} and fourth.name.split("-")[1] == "run"
     with pytest.raises(ValueError, match="answer_model"):
         runs.evaluate_run(spark, config, [str(tmp_path / "g.jsonl")], str(tmp_path / "runs"), "r5", resume_from=str(folder3), models=runs.Models(answer=len, judge=len, answer_name="m"))
+    assert cli.main(["eval-compare", "--first", str(folder), "--second", str(folder3), "--out", str(tmp_path / "cmp"), "--resamples", "50"]) == 0
+    found = json.loads((tmp_path / "cmp/comparison.json").read_text())
+    assert [v["n_items"] for v in found["levels"]] == [6, 6] and found["levels"][0]["mean_delta"] == 0 and "r3 against r1" in (tmp_path / "cmp/report.md").read_text()
+    capsys.readouterr()
+    exam_file(tmp_path / "h.jsonl", 2)
+    other = runs.evaluate_run(spark, config, [str(tmp_path / "h.jsonl")], str(tmp_path / "runs"), "h")
+    assert cli.main(["eval-compare", "--first", str(folder), "--second", str(other), "--out", str(tmp_path / "cmp2")]) == 1 and "different exams" in capsys.readouterr().err
     assert cli.main(["eval-sizing", "--run", str(folder), "--level", "0.5"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["n_observed"] == 6
     assert cli.main(["eval-sizing", "--run", str(folder), "--level", "0.9"]) == 1 and "error:" in capsys.readouterr().err

@@ -51,6 +51,51 @@ def test_synthetic_corpus_is_validated(spark, tmp_path):
     assert {("a", "prompt is not what family and seed give"), ("a", "content_sha1 is not the prompt's"), ("b", "seed is in the eval range"), ("c", "unknown family"), ("c", "subset is not registered")} <= got
 
 
+REGISTRY = """
+[[family]]
+name = "harbour_desk"
+constraint_types = ["refusal", "format"]
+license = "own"
+train_use = true
+eval_seed_range = [11, 20]
+train_seed_range = [31, 60]
+[[family]]
+name = "lamp_post"
+load_type = "dialogue"
+template = "user: Lamp {n} is out.\\nassistant: In {street}?\\nuser: Yes.\\nassistant: Noted.\\nuser: Which lamp was it?"
+extra_round = "user: And {m} flickers.\\nassistant: Since {day}?"
+slots = {n = ["4", "9", "12"], street = ["Mill Row", "Low Street"], m = ["seven", "eight"], day = ["Monday", "May"]}
+fact_types = ["name", "date"]
+license = "own"
+train_use = true
+"""
+
+
+def test_families_of_a_file(spark, tmp_path):
+    path = tmp_path / "families.toml"
+    path.write_text(REGISTRY)
+    fams = records.read_families(spark, str(path))
+    assert [(r["family"], r["eval_lo"], r["train_hi"], r["license"]) for r in fams.orderBy("family_ord").collect()] == [("harbour_desk", 11, 60, "own"), ("lamp_post", 101, 990, "own")]
+    prompts = [r["prompt"].split("\n") for r in synth.render(synth.candidates(fams, "eval_lo", "eval_hi")).filter("family = 'lamp_post'").collect()]
+    assert {len(p) for p in prompts} == {5, 7} and all(p[-2:] == ["assistant: Noted.", "user: Which lamp was it?"] for p in prompts)
+    long = next(p for p in prompts if len(p) == 7)
+    assert "flickers" in long[3] and "Since" in long[4]
+    out = str(tmp_path / "s.jsonl")
+    made = jobs.build_synthetic(spark, {"system_prompt": 9, "dialogue": 7}, [], out, str(tmp_path / "m.json"), str(path))
+    assert made["families"] == {"harbour_desk": 9, "lamp_post": 7} and made["mix_percent"] == {"system_prompt": 56.25, "dialogue": 43.75}
+    assert jobs.synthetic_problems(spark, [out], [], str(path)).count() == 0 and jobs.synthetic_problems(spark, [out], []).count() > 0
+    assert cli.main(["golden-build-synthetic", "--seeds", "lamp_post=101+102", "--out", str(tmp_path / "g.jsonl"), "--families", str(path)]) == 0
+    rows = [json.loads(x) for x in (tmp_path / "g.jsonl").read_text().splitlines()]
+    assert all(p in r["prompt"] for r in rows for p in r["key_points"])
+    for old, new, message in (('["name", "date"]', '["name"]', "two types"), ('["name", "date"]', '["name", "tone"]', "two types"), ("[31, 60]", "[15, 60]", "overlap"), ("[31, 60]", "[60, 31]", "ranges"), ('"harbour_desk"', '"nobody"', "template"), ('"lamp_post"', '"harbour_desk"', "repeated")):
+        path.write_text(REGISTRY.replace(old, new))
+        with pytest.raises(ValueError, match=message):
+            records.read_families(spark, str(path))
+    path.write_text("x = 1\n")
+    with pytest.raises(ValueError, match="no families"):
+        records.read_families(spark, str(path))
+
+
 def test_class_targets_and_mix(spark):
     assert synth.class_targets(300, {"rag": 30, "system_prompt": 35, "dialogue": 35}) == {"system_prompt": 350, "dialogue": 350}
     with pytest.raises(ValueError):
@@ -78,7 +123,9 @@ def test_retries_are_bounded_and_counted(spark):
                 raise teacher.Filtered("no")
             return value
 
-        return teacher.grade("p", lambda a: a, 2, lambda _: say(answers), lambda _: say(grades), 5, 3)
+        *counted, served = teacher.grade("p", lambda a: a, 2, lambda _: say(answers), lambda _: say(grades), 5, 3, "m")
+        assert served == (None if counted[0] is None else "m")
+        return tuple(counted)
 
     assert run(["x"], ['{"scores": [1, 0]}']) == ("x", [1, 0], 1, 1, None)
     assert run(["x"], ["?", '{"scores": [1]}', '{"scores": [true, 0]}', 'so {"scores": [1.0, 0]}.']) == ("x", [1, 0], 1, 4, None)

@@ -36,6 +36,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def unfiltered(values: Column, kind: str) -> Column:
+    """`values` (null: none) for explode(), from which the optimizer infers no filter on their number that it would copy to the scan."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(none, F.coalesce(values, none))
+
+
 #: Set between matches: a noncharacter, which no text holds.
 BREAK = "\uffff"
 

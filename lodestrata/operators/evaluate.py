@@ -44,9 +44,11 @@ def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.
 def document_f05(items: DataFrame, original: str, compressed: str, name: str = "token_f05", wordless: bool = True) -> DataFrame:
     """`items` with the token F0.5 of each row's texts; null where the original has no words, or without these rows. Nothing is shuffled."""
     counted = items.withColumns({"_a": T.word_tokens(F.col(original)), "_b": T.word_tokens(F.col(compressed))})
-    counted = counted if wordless else counted.filter(F.size("_a") > 0)
     measured = counted.withColumns({"_o": T.overlap(F.col("_a"), F.col("_b")), "_na": F.size("_a"), "_nb": F.size("_b")})
-    return measured.withColumn(name, F.when(F.col("_na") > 0, T.f05(F.col("_o"), F.greatest(F.col("_na"), F.lit(1)), F.col("_nb")))).drop("_a", "_b", "_o", "_na", "_nb")
+    score = F.when(F.col("_na") > 0, T.f05(F.col("_o"), F.greatest(F.col("_na"), F.lit(1)), F.col("_nb")))
+    if not wordless:  # a filter would be pushed to the scan, and the words be found twice
+        score = F.explode(T.unfiltered(F.when(F.col("_na") > 0, F.array(score)), "double"))
+    return measured.withColumn(name, score).drop("_a", "_b", "_o", "_na", "_nb")
 
 
 def aggregate(items: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:

@@ -232,7 +232,9 @@ def distill_run(
     # sorted by ranges: part files in order, none of them everything
     final.filter("dropped_by IS NOT NULL").select("id", "load_type", "dropped_by", "metrics").orderBy("id").write.mode("overwrite").parquet(f"{out}/dropped")
     metrics = ["variation_rate", "alignment_gap", "matching_rate"]
-    summary = [r.asDict() for r in stats.distributions(controlled.withColumn("kept", F.col("dropped_by").isNull()), metrics, "kept").orderBy("kept", "metric").collect()]
+    shares = stats.distributions(controlled.withColumn("kept", F.col("dropped_by").isNull()), metrics, "kept")
+    # sums of floats depend on the order of tasks in their last digits; a rerun's manifest should be the same
+    summary = [r.asDict() for r in shares.withColumn("mean", F.round("mean", 9)).orderBy("kept", "metric").collect()]
     table = controlled.groupBy("load_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("dropped_by").isNull()).alias("kept"), F.count_distinct("entry_id").alias("entries"))
     edges = controlled.select("thresholds.*").first()
     calls = {r["call"]: r["count"] for r in labelled.groupBy("call").count().collect()}

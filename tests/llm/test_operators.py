@@ -693,6 +693,42 @@ def test_similar_documents_against_brute_force(spark, docs, empty, monkeypatch,
     assert len(ids) == len(set(by_text)) and "None" not in ids
 
 
+def test_tables_cover_the_radius():
+    masks = [m for _, m in simhash_parts.tables()]
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        diff = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, simhash_parts.RADIUS + 1)), replace=False))
+        assert any(not diff & m for m in masks)
+
+
+def crowded_texts(seed=8):
+    """Families of texts whose similarities lie about 0.8, so that most of the closest by SimHash are not similar enough."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for size in (90, 180, 400):
+        for _ in range(4):
+            base = [f"w{int(k)}" for k in rng.integers(0, 5000, size)]
+            for i in range(20):
+                w = list(base)
+                for k in rng.integers(0, size, int(rng.integers(size // 130 + 1, size // 70 + 2))):
+                    w[int(k)] = f"v{int(rng.integers(0, 5000))}"
+                out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("dense, block, cell", [(4, 4096, 16_384), (0, 4096, 5), (0, 3, 16_384)])
+def test_similar_documents_of_crowded_buckets(spark, monkeypatch, dense, block, cell):
+    """The components are those of all pairs, whether buckets give all their pairs at once or trees first."""
+    texts = crowded_texts()
+    pairs, component = brute_similar(texts)
+    monkeypatch.setattr(simhash_parts, "DENSE", dense, raising=False)
+    monkeypatch.setattr(simhash_parts, "CELL", cell, raising=False)
+    monkeypatch.setattr(simhash_parts.candidate_pairs, "__defaults__", (block,))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 200 < len(pairs) and 60 < len(set(component)) < len(texts) - 60
+    assert {r["doc_id"] for r in simhash_parts.near_dedup(d).collect()} == set(component)
+
+
 def test_parts_cover_small_sets():
     """Sets that differ in no more than the similarity allows share a key if all their parts are kept."""
     rng = np.random.default_rng(1)

@@ -26,9 +26,11 @@ give the pairs of more than RADIUS and up to LOOSE bits (LOOSE_SMALL for sets of
 
 Pairs: a table's rows are sorted by size and each is compared with those up to 1 / s times
 as large. Every pair within the radius is a candidate, in the first table in which it meets.
-A bucket with over DENSE pairs a row first gives a minimum spanning tree over the distances
-of each `block` of its rows; its rows come back with the components found so far, and a
-second tree joins one row of each component, where a bucket has over `block` rows. Then all
+A bucket gives its pairs or, if those are more than the rows that they are of, these rows:
+never more than it has. To the rows their parities are joined, which tell most pairs apart
+that cannot be similar. A minimum spanning tree over the parities' distances of each `block`
+of a bucket's rows, at no distance within a component found so far, gives pairs to check;
+where a bucket has over `block` rows, a second tree joins one row of each component. Then all
 its pairs that no component holds yet are candidates, a large bucket's in cells of two groups
 of CELL rows, but for those whose parities differ in more bins than similar sets may. So no
 pair goes unchecked unless its two texts are linked already or cannot be similar.
@@ -141,17 +143,23 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     return cut(made.select(F.monotonically_increasing_id().alias("n"), "*"))
 
 
-def spanning_tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(child, parent, distance) of a minimum spanning tree over Hamming distances, from the first row (Prim)."""
+def spanning_tree(fps: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(child, parent, distance) of a minimum spanning tree over Hamming distances, from the first row (Prim). Rows of one root have none."""
     n = len(fps)
-    near, parent = np.bitwise_count(fps ^ fps[0]).astype(np.int16), np.zeros(n, np.int64)
+
+    def distances(j: int) -> np.ndarray:
+        d = np.bitwise_count(fps ^ fps[j])
+        d = d.sum(axis=1, dtype=np.int16) if fps.ndim > 1 else d.astype(np.int16)
+        return d if root is None else np.where(root == root[j], np.int16(0), d)
+
+    near, parent = distances(0), np.zeros(n, np.int64)
     near[0] = 999
     child, up, far = np.empty(n - 1, np.int64), np.empty(n - 1, np.int64), np.empty(n - 1, np.int16)
     for k in range(n - 1):
         j = int(near.argmin())
         child[k], up[k], far[k] = j, parent[j], near[j]
         near[j] = 999
-        d = np.bitwise_count(fps ^ fps[j])
+        d = distances(j)
         closer = (d < near) & (near < 999)
         near[closer] = d[closer]
         parent[closer] = j
@@ -159,10 +167,11 @@ def spanning_tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _linker(block: int, step: str, similarity: float):
-    """Rows (b, n, fp, size, root, cell, parity if wanted) sorted by (b, cell, size, fp) -> (kind, u, v, w, z): kind 0 a pair u > v; 1 a row (b, n, fp, size) of a dense bucket.
+    """Rows (b, n, fp, size, root, cell, parity after the first step) sorted by (b, cell, size, fp) -> (kind, u, v, w, z): kind 0 a pair u > v; 1 a row (b, n, fp, size) of a dense bucket.
 
-    `step`: "first" gives all pairs of a bucket, or trees and rows if it is dense; "trees" a
-    tree over one row of each root; "all" the pairs of different roots.
+    `step`: "first" gives all pairs of a bucket, or the rows that they are of if these are
+    fewer; "trees" a tree over all rows; "roots" one over one row of each root; "all" the
+    pairs of different roots.
     """
     masks = np.array([m for _, m in tables()], np.uint64)
 
@@ -181,27 +190,39 @@ def _linker(block: int, step: str, similarity: float):
         none = np.zeros(len(i), np.int64)
         return batch(none, np.maximum(n[i], n[j]), np.minimum(n[i], n[j]), none, none)
 
-    def trees(rows: np.ndarray, group: np.ndarray, n: np.ndarray, fp: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Spanning trees of the given rows, group by group and block by block."""
-        for part in np.split(rows, np.flatnonzero(np.diff(group[rows])) + 1):
-            for at in range(0, len(part), block):
-                some = part[at : at + block]
-                if len(some) > 1:
-                    child, up, far = spanning_tree(fp[some])
-                    close = far <= most[some].max()
-                    if close.any():
-                        yield pairs(n, some[child[close]], some[up[close]])
-
     def compare(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         b, n, fp, size, root, cell, *odd = columns
         fp = fp.view(np.uint64)
         group = np.cumsum((np.diff(b, prepend=b[0]) != 0) | (np.diff(cell, prepend=cell[0]) != 0))
         least = np.where(b < 0, RADIUS + 1, 0)
         most = np.where(b >= 0, RADIUS, np.where(size <= SMALL, LOOSE_SMALL, LOOSE))
+
+        def like(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether rows i and j may be similar: sets at the similarity differ in at most (1 - s) / (1 + s) of both sizes."""
+            differ = np.bitwise_count(odd[0][i] ^ odd[0][j]).sum(axis=1)
+            return differ <= (1 - similarity) / (1 + similarity) * (size[i] + size[j]) + 1e-6
+
+        def trees(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of spanning trees of the given rows, block by block, the edges of different roots that may be similar, but for those that meet elsewhere first: there they were given, or edges as short join them."""
+            for part in np.split(rows, np.flatnonzero(np.diff(group[rows])) + 1):
+                for at in range(0, len(part), block):
+                    some = part[at : at + block]
+                    if len(some) > 1:
+                        child, up, _ = spanning_tree(odd[0][some], root[some])
+                        i, j = some[np.minimum(child, up)], some[np.maximum(child, up)]
+                        new = (root[i] != root[j]) & (size[i] >= similarity * size[j] - 1e-6) & like(i, j)
+                        i, j = i[new], j[new]
+                        if len(i):
+                            new = (np.bitwise_count(fp[i] ^ fp[j]) > RADIUS) | (b[i] >= 0) & firsts(b, size, fp, i, j)
+                            yield pairs(n, i[new], j[new])
+
         if step == "trees":
+            yield from trees(np.arange(len(b)))
+            return
+        if step == "roots":
             order = np.lexsort((fp, root, group))
             order = order[(np.diff(group[order], prepend=-1) != 0) | (np.diff(root[order], prepend=root[order[0]]) != 0)]
-            yield from trees(np.sort(order), group, n, fp, most)
+            yield from trees(np.sort(order))
             return
         limit, seen = DENSE * np.bincount(group), np.zeros(group[-1] + 1, np.int64)
         touched, found, held = np.zeros(len(b), bool), [], 0
@@ -212,9 +233,8 @@ def _linker(block: int, step: str, similarity: float):
             i = i[(group[j] == group[i]) & (size[i] >= similarity * size[j] - 1e-6)]  # sizes ascend: what fails here fails at larger k
             d = np.bitwise_count(fp[i] ^ fp[i + k])
             near = i[(d <= most[i]) & (d >= least[i]) & (root[i] != root[i + k])]
-            if len(near) and odd:  # at the similarity sets differ in at most (1 - s) / (1 + s) of both sizes
-                differ = np.bitwise_count(odd[0][near] ^ odd[0][near + k]).sum(axis=1)
-                near = near[differ <= (1 - similarity) / (1 + similarity) * (size[near] + size[near + k]) + 1e-6]
+            if len(near) and odd:
+                near = near[like(near, near + k)]
             if len(near):
                 near = near[firsts(b, size, fp, near, near + k)]
             if len(near) and step == "first":
@@ -228,13 +248,14 @@ def _linker(block: int, step: str, similarity: float):
                     yield pairs(n, *(np.concatenate(x) for x in zip(*found)))
                     found, held = [], 0
             k += 1
+        if step == "first":  # a bucket gives its pairs or the rows that they are of, whichever are fewer
+            limit = np.minimum(limit, np.bincount(group[touched], minlength=len(limit)))
         if found:
             x, y = (np.concatenate(z) for z in zip(*found))
             few = seen[group[x]] <= limit[group[x]]
             yield pairs(n, x[few], y[few])
         dense = np.flatnonzero(touched & (seen > limit)[group]) if step == "first" else []
         if len(dense):
-            yield from trees(dense, group, n, fp, most)
             yield batch(np.ones(len(dense), np.int64), b[dense], n[dense], fp[dense].view(np.int64), size[dense])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +294,7 @@ def table_rows(sketches: DataFrame) -> DataFrame:
 
 
 def _linked(rows: DataFrame, block: int, step: str, similarity: float) -> DataFrame:
-    parities = ["parity"] if step == "all" else []
+    parities = [] if step == "first" else ["parity"]
     kept = rows.sortWithinPartitions("b", "cell", "size", "fp").select("b", "n", "fp", "size", "root", "cell", *parities)
     return cut(kept.mapInArrow(_linker(block, step, similarity), "kind long, u long, v long, w long, z long"))
 
@@ -284,18 +305,22 @@ def candidate_pairs(sketches: DataFrame, similarity: float, check: Callable[[Dat
     out = _linked(rows, block, "first", similarity)
     found = [check(out.filter("kind = 0").select("u", "v").distinct())]
     rest = out.filter("kind = 1").select(F.col("u").alias("b"), F.col("v").alias("n"), F.col("w").alias("fp"), F.col("z").alias("size"))
-    for step in () if rest.isEmpty() else ("trees", "all"):
+    some = not rest.isEmpty()
+    if some:
+        rest = cut(rest.join(sketches.select("n", "parity"), "n"))
+    for step in ("trees", "roots", "all") if some else ():
         roots = connected_components(reduce(DataFrame.unionByName, found)).toDF("n", "root")
         rows = cut(rest.join(roots, "n", "left").withColumn("root", F.coalesce("root", "n")))
         split = rows.groupBy("b").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high"))
-        split = cut(split.filter("low <> high").select("b", F.ceil(F.col("rows") / F.lit(block if step == "trees" else CELL)).alias("g")))
-        if step == "trees" and split.filter("g > 1").isEmpty():
+        split = cut(split.filter("low <> high").select("b", F.ceil(F.col("rows") / F.lit(CELL if step == "all" else block)).alias("g")))
+        if step == "roots" and split.filter("g > 1").isEmpty():
             continue
-        rows = rows.join(maybe_broadcast(split, split.count()), "b")
+        rows = rows.join(maybe_broadcast(split, split.count()), "b").withColumn("own", F.pmod(F.xxhash64("n"), F.col("g")))
         if step == "trees":
+            rows = rows.withColumn("cell", F.col("own"))
+        elif step == "roots":
             rows = rows.withColumn("cell", F.lit(0).cast("long"))
         else:  # every two of a bucket's g groups meet in a cell
-            rows = rows.join(sketches.select("n", "parity"), "n").withColumn("own", F.pmod(F.xxhash64("n"), F.col("g")))
             rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other"))
             rows = rows.withColumn("cell", F.least("own", "other") * F.col("g") + F.greatest("own", "other"))
         out = _linked(rows.repartition("b", "cell"), block, step, similarity)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -729,6 +730,43 @@ def test_similar_documents_of_crowded_buckets(spark, monkeypatch, dense, block,
     assert {r["doc_id"] for r in simhash_parts.near_dedup(d).collect()} == set(component)
 
 
+@pytest.mark.parametrize("rows", [2, 6, 40, 300])
+def test_a_bucket_gives_no_more_than_its_rows(rows):
+    """Of a bucket whose rows are all near each other: its pairs or its rows, whichever are fewer."""
+    low, high = simhash_parts.tables()[0][0], simhash_parts.tables()[-1][0]
+    fp = np.sort(np.random.default_rng(2).permutation(1 << 12)[:rows]).astype(np.int64) << high  # 12 bits of the last block
+    size, n = np.full(rows, 100), np.arange(rows) + 7
+    own = int(simhash_parts.size_classes(size)[0][0])
+    columns = {"b": np.full(rows, own << simhash_parts.KEY_BITS), "n": n, "fp": fp, "size": size, "root": n, "cell": np.zeros(rows, np.int64)}
+    out = [b.to_pydict() for b in simhash_parts._linker(4096, "first", 0.8)(iter([pa.RecordBatch.from_pydict(columns)]))]
+    pairs = {(u, v) for b in out for k, u, v in zip(b["kind"], b["u"], b["v"]) if k == 0}
+    dense = {v for b in out for k, v in zip(b["kind"], b["v"]) if k == 1}
+    assert low == 0 and sum(len(b["kind"]) for b in out) <= min(rows, rows * (rows - 1) // 2)
+    assert pairs | dense and {x for p in pairs for x in p} | dense == set(n.tolist())
+
+
+def test_rows_of_a_large_group_grow_with_it(spark, monkeypatch):
+    """Twice as many near copies of one text give about twice the rows, and the components of all pairs."""
+    made, linked = [], simhash_parts._linked
+    monkeypatch.setattr(simhash_parts, "_linked", lambda rows, *options: made.append((out := linked(rows, *options)).count()) or out)
+    totals = []
+    for copies in (100, 200):
+        rng = np.random.default_rng(4)
+        base = [f"w{int(k)}" for k in rng.integers(0, 5000, 150)]
+        texts = []
+        for _ in range(copies):
+            w = list(base)
+            for k in rng.integers(0, len(w), int(rng.integers(1, 5))):
+                w[int(k)] = f"v{int(rng.integers(0, 5000))}"
+            texts.append(" ".join(w))
+        component = brute_similar(texts)[1]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        made.clear()
+        assert {r["doc_id"] for r in simhash_parts.near_dedup(d).collect()} == set(component)
+        totals.append(sum(made))
+    assert totals[1] < 2.6 * totals[0], totals
+
+
 def test_parts_cover_small_sets():
     """Sets that differ in no more than the similarity allows share a key if all their parts are kept."""
     rng = np.random.default_rng(1)

@@ -185,6 +185,6 @@ def export_windows(spark: SparkSession, labeled: str, out: str, max_seq_len: int
     if wrong:
         raise ValueError(f"{wrong['id']}: {wrong['error']}")
     rows = rows.select("id", "text", "tokens")
-    packed = windows.windows(windows.align_labels(rows, "text", "tokens"), "subwords", max_seq_len)
+    packed = windows.windows(windows.align_labels(rows, "text", "tokens", kept=["id"]), "subwords", max_seq_len)
     sinks.write_dataset(packed, out)
     return spark.read.parquet(out).count()

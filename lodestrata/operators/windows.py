@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..partitions import lengths, slices
 from .splits import range_rank
 
 #: text -> (start, end) of each subword.
@@ -33,34 +35,34 @@ def align(words: list[tuple[int, int, int]], subwords: list[tuple[int, int]]) ->
     return out
 
 
-def align_labels(df: DataFrame, text: str, spans: str, tokenizer: Tokenizer = pieces) -> DataFrame:
-    """`df` with subwords array<struct<start, end, label, owner>>; `spans` is an array of structs that hold start, end and keep.
+def align_labels(df: DataFrame, text: str, spans: str, tokenizer: Tokenizer = pieces, kept: Sequence[str] | None = None) -> DataFrame:
+    """`df` (or its columns `kept`) with subwords array<struct<start, end, label, owner>>; `spans` is an array of structs that hold start, end and keep.
 
-    Spans and subwords cross as flat Arrow arrays with offsets, not as Python rows.
+    Spans and subwords cross as flat Arrow arrays with offsets, not as Python rows; of a span
+    only its numbers cross. Python holds the subwords of one slice of a batch at a time.
     """
-    kept = [c for c in df.columns if c != "subwords"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
+    kept = [c for c in (df.columns if kept is None else kept) if c != "subwords"]
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields], "subwords array<struct<start:int,end:int,label:int,owner:int>>"])
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            texts, lists = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            inner, at = lists.values, lists.offsets.to_numpy()
-            start, end, keep = (inner.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "keep"))
+        for batch in slices(batches_, "_t", "_s"):
+            texts, lists = batch.column("_t"), batch.column("_s")
+            inner, at = lists.flatten(), np.append(0, np.cumsum(lengths(lists))).tolist()
+            start, end, keep = (inner.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("start", "end", "keep"))
             flat: list[tuple[int, int, int, int]] = []
             offsets = [0]
             for k, t in enumerate(texts.to_pylist()):
                 a, b = at[k], at[k + 1]
                 subwords = tokenizer(t or "")
-                words = list(zip(start[a:b].tolist(), end[a:b].tolist(), keep[a:b].tolist()))
-                flat += [(*s, *lo) for s, lo in zip(subwords, align(words, subwords))]
+                flat += [(*s, *lo) for s, lo in zip(subwords, align(list(zip(start[a:b], end[a:b], keep[a:b])), subwords))]
                 offsets.append(len(flat))
             cols = list(zip(*flat)) or [()] * 4
             struct = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["start", "end", "label", "owner"])
             out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], out], [*kept, "subwords"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], [*kept, "subwords"])
 
-    rows = df.select(*kept, F.col(text).alias("_t"), F.col(spans).alias("_s"))
-    return rows.mapInArrow(run, f"{fields}, subwords array<struct<start:int,end:int,label:int,owner:int>>")
+    numbers = F.transform(spans, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "keep")]))
+    return df.select(*kept, F.col(text).alias("_t"), numbers.alias("_s")).mapInArrow(run, fields)
 
 
 def group_sizes(owners: Column) -> Column:

@@ -742,7 +742,7 @@ def regeneration_check(spark, d):
 @query()
 def align_labels(spark, d):
     labelled_ = distill.label_chunks(teacher_chunks(spark, d), "text", "short")
-    a = windows.align_labels(labelled_.select("doc_id", "index", "text", "tokens"), "text", "tokens")
+    a = windows.align_labels(labelled_.select("doc_id", "index", "text", "tokens"), "text", "tokens", kept=["doc_id", "index"])
     return a.select("doc_id", "index", F.size("subwords").alias("n_subwords"), F.size(F.filter("subwords", lambda s: s["label"] == 1)).alias("n_kept"))
 
 

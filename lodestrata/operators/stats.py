@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from ..checkpoint import cut
 
 #: One-sided 95 % and 80 % power.
 Z_ALPHA, Z_POWER = 1.6449, 0.8416
-#: Deltas of all groups together that may be broadcast to their draws; beyond it both sides shuffle by (group, rank).
-BROADCAST_ROWS = 1_000_000
+#: Draws that are worked out at once, and those that a block of ranks gets from all resamples, about.
+DRAWS, DRAWN = 1 << 18, 1 << 22
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
@@ -93,23 +96,54 @@ def sizing(df: DataFrame, group: str, delta: str = "delta") -> DataFrame:
 
 
 def resample_means(df: DataFrame, group: str, order: str, delta: str, resamples: int, seed: int) -> DataFrame:
-    """(group, r, mean): hash-indexed resamples with replacement. Each draw is a row that meets its delta by rank, so that no group's deltas stand in one place; sums are combined where the draws are."""
-    rows = cut(ranked(df.select(group, order, F.col(delta).alias("_v")), [group], [F.col(order)]).select(group, "rank", "_v", "n"))
+    """(group, r, mean): hash-indexed resamples with replacement.
+
+    Draws are worked out DRAWS at a time, dealt over all tasks, and cross as two bytes each: the
+    places in a block of ranks that a resample takes. A block's deltas meet their draws in one
+    task, some DRAWN of them, so that neither a group's deltas nor its draws stand in one place.
+    """
+    rows = cut(ranked(df.select(group, order, F.col(delta).cast("double").alias("_v")), [group], [F.col(order)]).select(group, "rank", "_v", "n"))
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(group, "r")
-    draws = draws.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("i").cast("string")))
-    drawn = draws.withColumn("rank", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.col("_n"))
-    values = rows.select(F.col(group).alias("_g"), F.col("rank").alias("_k"), "_v")
-    if total <= BROADCAST_ROWS:
-        values = F.broadcast(values)
-    met = drawn.join(values, F.col(group).eqNullSafe(F.col("_g")) & (F.col("rank") == F.col("_k")))
-    return met.groupBy(group, "r").agg((F.sum("_v") / F.max("_n")).alias("mean"))
+    block, kind = max(1, min(1 << 16, DRAWN // resamples)), df.schema[group].dataType.simpleString()
+    items = (sizes.agg(F.sum(F.ceil(F.col("_n") / DRAWS))).first()[0] or 0) * resamples
+    parts = sizes.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(DRAWS).cast("long"))))
+    parts = parts.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    parts = parts.repartition(max(1, min(items, 4 * df.sparkSession.sparkContext.defaultParallelism)))  # few small rows, each much work: a number, as AQE would join them to one task
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = hashlib.md5
+        for b in batches:
+            for k, (n, first, r) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_n", "_from", "r")))):
+                head = b"%d:%d:" % (seed, r)
+                digests = b"".join([md5(head + b"%d" % i, usedforsecurity=False).digest()[:4] for i in range(first, min(n, first + DRAWS))])
+                rank = np.sort(np.frombuffer(digests, ">u4").astype(np.int64) % n)
+                blocks, starts = np.unique(rank // block, return_index=True)
+                places = (rank % block).astype("<u2")
+                taken = pa.array([x.tobytes() for x in np.split(places, starts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(group).take(pa.array([k] * len(blocks))), pa.array(blocks, pa.int64()), pa.array([r] * len(blocks), pa.int32()), taken], [group, "_k", "r", "_at"])
+
+    def meet(key: tuple[pa.Scalar, ...], draws: pa.Table, values: pa.Table) -> pa.Table:
+        at = values.column("rank").to_numpy() % block
+        known = values.column("_v").is_valid().to_numpy()
+        v, valid = np.zeros(block), np.zeros(block, np.int64)
+        v[at[known]], valid[at[known]] = values.column("_v").drop_null().to_numpy(), 1
+        taken = draws.column("_at").to_pylist()
+        places = np.frombuffer(b"".join(taken), "<u2")
+        starts = np.cumsum([0, *(len(x) // 2 for x in taken[:-1])])[: len(taken)]
+        r, back = np.unique(draws.column("r").to_numpy(), return_inverse=True)
+        total, found = (np.bincount(back, np.add.reduceat(x[places], starts) if len(taken) else [], len(r)) for x in (v, valid))
+        return pa.table([pa.array([key[0].as_py()] * len(r), draws.schema.field(group).type), pa.array(r, pa.int32()), pa.array(total, pa.float64()), pa.array(found, pa.float64())], [group, "r", "_s", "_c"])
+
+    drawn = parts.mapInArrow(draw, f"`{group}` {kind}, _k long, r int, _at binary")
+    values = rows.select(group, F.floor(F.col("rank") / block).cast("long").alias("_k"), F.col("rank").cast("long").alias("rank"), "_v")
+    met = drawn.groupBy(group, "_k").cogroup(values.groupBy(group, "_k")).applyInArrow(meet, f"`{group}` {kind}, r int, _s double, _c double")
+    sums = met.groupBy(group, "r").agg(F.when(F.sum("_c") > 0, F.sum("_s")).alias("_s")).withColumnRenamed(group, "_g")
+    return sums.join(sizes, F.col("_g").eqNullSafe(F.col(group))).select(group, "r", (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def bootstrap(df: DataFrame, group: str, order: str = "id", delta: str = "delta", resamples: int = 200, seed: int = 7, confidence: float = 0.95, bounds: str = "linear") -> DataFrame:
     """Percentile bootstrap of each group's mean. bounds: "linear" interpolates, "order" takes order statistics. What meets in a group is its `resamples` means."""
+    df = cut(df.select(group, order, delta))  # read for ranges, ranks and the observed means: not worked out thrice
     means = resample_means(df, group, order, delta, resamples, seed)
     low = (1 - confidence) / 2
     if bounds == "linear":

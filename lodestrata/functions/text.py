@@ -11,10 +11,12 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..partitions import lengths, slices
+
 #: Token patterns.
 WORD = r"[0-9A-Za-z]+(?:['’\-][0-9A-Za-z]+)*|[^\p{L}\p{N}_\s]"
 FACT = r"#[\p{L}\p{N}_-]+|\p{Nd}+(?:[.,:/-]\p{Nd}+)*%?"
@@ -203,21 +205,23 @@ def f05(overlap: Column, n_original: Column, n_compressed: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays of words, of any length: their hashes are counted in Arrow batches, row by row, without a shuffle."""
-
-    @F.pandas_udf("long")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        sizes = [np.array([len(x) if x is not None else 0 for x in side]) for side in (left, right)]
-        words = [np.concatenate([x for x in side if x is not None and len(x)] or [np.empty(0, np.int64)]).astype(np.int64) for side in (left, right)]
-        rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        row, word = np.concatenate(rows), np.concatenate(words)
+    """Size of the multiset intersection of two arrays of words, of any length: their hashes are counted in slices of Arrow batches, row by row, without a shuffle."""
+
+    def counted(part: pa.RecordBatch) -> np.ndarray:
+        rows = [np.repeat(np.arange(part.num_rows), lengths(side)) for side in part.columns]
+        row, word = np.concatenate(rows), np.concatenate([side.flatten().to_numpy(zero_copy_only=False) for side in part.columns])
         order = np.lexsort((word, row))
-        row, word, own = row[order], word[order], (np.arange(len(order)) < len(rows[0]))[order]
+        row, word, own = row[order], word[order], (order < len(rows[0]))
         starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | np.concatenate([[True], word[1:] != word[:-1]])[: len(row)])
         if not len(starts):
-            return pd.Series(np.zeros(len(left), np.int64))
+            return np.zeros(part.num_rows, np.int64)
         n, ours = np.diff(np.append(starts, len(row))), np.add.reduceat(own.astype(np.int64), starts)
-        return pd.Series(np.bincount(row[starts], weights=np.minimum(ours, n - ours), minlength=len(left)).astype(np.int64))
+        return np.bincount(row[starts], weights=np.minimum(ours, n - ours), minlength=part.num_rows).astype(np.int64)
+
+    @F.arrow_udf("long")
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([left, right], ["a", "b"])
+        return pa.array(np.concatenate([np.empty(0, np.int64), *map(counted, slices([batch], "a", "b"))]), pa.int64())
 
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
     return run(hashed(a), hashed(b))

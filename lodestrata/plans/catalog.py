@@ -592,10 +592,10 @@ PIECE, NEAR, DROP = 64, 24, 4
 
 def pieces(spark, d):
     """Runs of PIECE words of each text, and the reversed lower-case compression of each."""
-    w = nonblank(spark, d).select("doc_id", "lang", T.word_tokens(F.col("text")).alias("w"))
-    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.greatest(F.size("w"), F.lit(1)) - 1) / PIECE).cast("int")))
-    each = w.select("doc_id", "lang", "w", F.explode(T.unfiltered(places, "int")).alias("piece"))
-    o = each.select("doc_id", "lang", "piece", F.slice("w", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("o"))
+    # the pieces are cut before they become rows: an exploded number would copy all words of a text to each of its pieces
+    cuts = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PIECE).cast("int")), lambda k: F.slice(w, k * PIECE + 1, F.lit(PIECE)))
+    each = T.let(T.word_tokens(F.col("text")), lambda w: F.when(F.size(w) > 0, cuts(w)))
+    o = nonblank(spark, d).select("doc_id", "lang", F.posexplode(T.unfiltered(each, "array<string>")).alias("piece", "o"))
     return o.withColumn("c", F.reverse(F.transform(T.compress_words(F.col("o"), DROP), lambda x: F.lower(x))))
 
 

@@ -26,19 +26,25 @@ def sweep(items: DataFrame, levels: Sequence[float]) -> DataFrame:
     return items.withColumn("_l", F.explode(rows)).select("*", "_l.level", "_l.drop").drop("_l")
 
 
-def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.compress_words, given: str | None = None) -> DataFrame:
-    """Adds compressed (unless a column with it is given), tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column, and is prepared here if it has not been."""
+def item_metrics(items: DataFrame, text: str = "text", compress: Compressor = T.compress_words, given: str | None = None, bare: bool = False) -> DataFrame:
+    """Adds compressed (unless a column with it is given, or numbers are enough: `bare`), tokens_original, tokens_compressed, kept_ratio, removed and fact_recall. `items` has a `drop` column, and is prepared here if it has not been."""
     words = items if "_words" in items.columns else prepare(items, text)
-    kept = words.withColumn("_kept", T.ws_tokens(F.col(given)) if given else compress(F.col("_words"), F.col("drop")))
-    measured = (
-        kept.withColumn("compressed", F.col(given) if given else F.array_join("_kept", " "))
-        .withColumn("tokens_original", F.size("_words").cast("long"))
-        .withColumn("tokens_compressed", F.size("_kept").cast("long"))
-        .drop("_words", "_kept")
-    )
+    if bare and not given:  # the kept words are counted and joined where they arise: as a column they would be copied, for each level
+        joined = lambda k: F.when(F.size("_facts") > 0, T.let(F.array_join(k, " "), lambda t: T.recall_of(F.col("_facts"), t))).otherwise(F.lit(1.0))
+        both = T.let(compress(F.col("_words"), F.col("drop")), lambda k: F.struct(F.size(k).cast("long").alias("n"), joined(k).alias("recall")))
+        measured = words.withColumn("_m", both).withColumns({"tokens_original": F.size("_words").cast("long"), "tokens_compressed": F.col("_m.n")})
+        recall = F.col("_m.recall")
+    else:
+        kept = words.withColumn("_kept", T.ws_tokens(F.col(given)) if given else compress(F.col("_words"), F.col("drop")))
+        measured = (
+            kept.withColumn("compressed", F.col(given) if given else F.array_join("_kept", " "))
+            .withColumn("tokens_original", F.size("_words").cast("long"))
+            .withColumn("tokens_compressed", F.size("_kept").cast("long"))
+        )
+        recall = T.recall_of(F.col("_facts"), F.col("compressed"))
+    measured = measured.drop("_words", "_kept")
     ratio = T.kept_ratio(F.col("tokens_original"), F.col("tokens_compressed"))
-    recall = T.recall_of(F.col("_facts"), F.col("compressed"))
-    return measured.withColumn("kept_ratio", ratio).withColumn("removed", 1 - F.col("kept_ratio")).withColumn("fact_recall", recall).drop("_facts")
+    return measured.withColumn("kept_ratio", ratio).withColumn("removed", 1 - F.col("kept_ratio")).withColumn("fact_recall", recall).drop("_facts", "_m")
 
 
 def document_f05(items: DataFrame, original: str, compressed: str, name: str = "token_f05", wordless: bool = True) -> DataFrame:

@@ -355,7 +355,7 @@ AGG = "count(*) AS n_items, sum(o)::BIGINT AS sum_original, sum(c)::BIGINT AS su
 
 @query(f"WITH {SWEEP} SELECT level, {AGG} FROM m GROUP BY level")
 def eval_levels_sweep(spark, d):
-    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(evaluate.prepare(nonblank(spark, d)), LEVELS)).drop("text", "compressed"), "level")
+    return evaluate.aggregate(evaluate.item_metrics(evaluate.sweep(evaluate.prepare(nonblank(spark, d)).drop("text"), LEVELS), bare=True), "level")
 
 
 def f05_sql(pairs: str) -> str:
